@@ -93,3 +93,442 @@ def q_category_check(spark, sf):
 @register("first_violation", EVENT_P1_SQL)
 def q_first_violation(spark, sf):
     return fl.flags_from(event_p1(spark, sf), "p1", 1).drop("score")
+
+
+# ------------------------------------------------------- shared SQL pieces
+def _sql_list(items) -> str:
+    return ", ".join("'" + str(x).replace("'", "''") + "'" for x in items)
+
+
+def _events_nulls(spark, sf):
+    """events with nulls made where event_id % 17 = 0 (value, event_type) and
+    % 13 = 0 or < 3 (ts); the test tables have none."""
+    e = events(spark, sf)
+    return (e.withColumn("value", F.when(F.col("event_id") % 17 == 0, F.lit(None)).otherwise(F.col("value")))
+             .withColumn("event_type", F.when(F.col("event_id") % 17 == 0, F.lit(None)).otherwise(F.col("event_type")))
+             .withColumn("ts", F.when((F.col("event_id") % 13 == 0) | (F.col("event_id") < 3), F.lit(None))
+                         .otherwise(F.col("ts"))))
+
+
+EVENTS_NULLS_SQL = """events_n AS (
+  SELECT event_id AS row_id, event_id, user_id, props,
+    CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS value,
+    CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_type END AS event_type,
+    CASE WHEN event_id % 13 = 0 OR event_id < 3 THEN NULL ELSE ts END AS ts
+  FROM events)"""
+
+STRICT_NUM_SQL = ("CASE WHEN regexp_matches(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), "
+                  "'^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') "
+                  "OR regexp_matches(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), '(?i)^[+-]?(nan|inf|infinity)$') "
+                  "THEN TRY_CAST(regexp_replace({x}, '^\\s+|\\s+$', '', 'g') AS DOUBLE) END")
+
+
+def strict_num_sql(x: str) -> str:
+    return STRICT_NUM_SQL.format(x=x)
+
+
+# ------------------------------------------------------- B: profiling (cont.)
+@register("infer_num_or_cat", f"""
+SELECT 'o_orderkey' AS "column", 'Numerical' AS auto_type
+UNION ALL SELECT 'o_orderstatus', CASE WHEN max(CASE WHEN {strict_num_sql('o_orderstatus')} IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 'Numerical' ELSE 'Categorical' END FROM orders
+UNION ALL SELECT 'price_text', CASE WHEN max(CASE WHEN {strict_num_sql('CAST(o_totalprice AS VARCHAR)')} IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 'Numerical' ELSE 'Categorical' END FROM orders
+UNION ALL SELECT 'o_orderpriority', CASE WHEN max(CASE WHEN {strict_num_sql('o_orderpriority')} IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 'Numerical' ELSE 'Categorical' END FROM orders
+""")
+def q_infer_num_or_cat(spark, sf):
+    from rowaudit.operators.profile import infer_num_or_cat
+    o = table(spark, sf, "orders").withColumn("price_text", F.col("o_totalprice").cast("string"))
+    return infer_num_or_cat(o, ["o_orderkey", "o_orderstatus", "price_text", "o_orderpriority"])
+
+
+@register("distinct_sample", """
+SELECT CAST(user_id AS VARCHAR) AS value, min(event_id) AS first_row FROM events
+GROUP BY 1 ORDER BY first_row LIMIT 50
+""")
+def q_distinct_sample(spark, sf):
+    from rowaudit.operators.profile import distinct_sample
+    return distinct_sample(events(spark, sf), "user_id", 50)
+
+
+@register("normalize_nulls", """
+SELECT event_id AS row_id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS value FROM events
+""")
+def q_normalize_nulls(spark, sf):
+    from rowaudit.operators.profile import normalize_nulls
+    e = events(spark, sf).withColumn("value", F.when(F.col("event_id") % 17 == 0, F.lit(float("nan")))
+                                     .otherwise(F.col("value")))
+    return normalize_nulls(e.select("row_id", "value"))
+
+
+@register("infer_four_types", """
+SELECT 'doc_id' AS "column", 'NUMERICAL' AS data_type
+UNION ALL SELECT 'text', CASE WHEN avg(length(coalesce(text, 'None'))) > 30 THEN 'TEXT' ELSE 'CATEGORICAL' END FROM documents
+UNION ALL SELECT 'lang', CASE WHEN avg(length(coalesce(lang, 'None'))) > 30 THEN 'TEXT' ELSE 'CATEGORICAL' END FROM documents
+UNION ALL SELECT 'source', CASE WHEN avg(length(coalesce(source, 'None'))) > 30 THEN 'TEXT' ELSE 'CATEGORICAL' END FROM documents
+UNION ALL SELECT 'n_chars', 'NUMERICAL'
+UNION ALL SELECT 'ts', 'DATETIME'
+""")
+def q_infer_four_types(spark, sf):
+    from rowaudit.operators.profile import four_types_table
+    d = table(spark, sf, "documents")
+    t1 = four_types_table(d, ["doc_id", "text", "lang", "source", "n_chars"])
+    t2 = four_types_table(table(spark, sf, "events"), ["ts"])
+    return t1.unionByName(t2)
+
+
+@register("column_stats", """
+SELECT 'value' AS "column", count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd_pop,
+  round(stddev_samp(value), 6) AS sd_samp, min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.5), 6) AS median
+FROM events
+UNION ALL
+SELECT 'user_id', count(user_id), round(avg(user_id), 6), round(stddev_pop(user_id), 6), round(stddev_samp(user_id), 6),
+  CAST(min(user_id) AS DOUBLE), CAST(max(user_id) AS DOUBLE), round(quantile_cont(user_id, 0.5), 6)
+FROM events
+""")
+def q_column_stats(spark, sf):
+    from rowaudit.operators.stats import column_stats
+    s = column_stats(events(spark, sf), ["value", "user_id"])
+    return s.select("column", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd_pop", "sd_samp")],
+                    "min", "max", F.round("median", 6).alias("median"))
+
+
+@register("class_counts", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")
+def q_class_counts(spark, sf):
+    from rowaudit.operators.stats import class_counts
+    return class_counts(table(spark, sf, "orders"), "o_orderstatus")
+
+
+@register("quantile_threshold", """
+SELECT round(quantile_cont(value, 0.95), 6) AS q95_value,
+       (SELECT round(quantile_cont(l_extendedprice, 0.95), 6) FROM lineitem) AS q95_price
+FROM events
+""")
+def q_quantile_threshold(spark, sf):
+    from rowaudit.operators.stats import exact_quantile
+    a = exact_quantile(table(spark, sf, "events"), "value", 0.95)
+    b = exact_quantile(table(spark, sf, "lineitem"), "l_extendedprice", 0.95)
+    return spark.range(1).select(F.round(F.lit(a), 6).alias("q95_value"), F.round(F.lit(b), 6).alias("q95_price"))
+
+
+# ------------------------------------------------------- C: cleaning
+@register("coerce_median_impute", f"""
+WITH {EVENTS_NULLS_SQL}
+SELECT row_id, round(coalesce(value, (SELECT quantile_cont(value, 0.5) FROM events_n)), 6) AS value FROM events_n
+""")
+def q_coerce_median_impute(spark, sf):
+    from rowaudit.operators.clean import coerce_median_impute
+    d = coerce_median_impute(_events_nulls(spark, sf).select("row_id", "value"), ["value"])
+    return d.select("row_id", F.round("value", 6).alias("value"))
+
+
+@register("median_zero_impute", f"""
+WITH {EVENTS_NULLS_SQL}
+SELECT row_id, round(coalesce(value, (SELECT quantile_cont(value, 0.5) FROM events_n)), 6) AS value,
+       CAST(0.0 AS DOUBLE) AS empty
+FROM events_n
+""")
+def q_median_zero_impute(spark, sf):
+    from rowaudit.operators.clean import coerce_median_impute
+    d = _events_nulls(spark, sf).select("row_id", "value", F.lit(None).cast("double").alias("empty"))
+    d = coerce_median_impute(d, ["value", "empty"], zero_if_empty=True)
+    return d.select("row_id", F.round("value", 6).alias("value"), "empty")
+
+
+@register("mode_impute", f"""
+WITH {EVENTS_NULLS_SQL}, m AS (
+  SELECT event_type FROM events_n WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, event_type LIMIT 1)
+SELECT row_id, coalesce(event_type, (SELECT event_type FROM m)) AS event_type FROM events_n
+""")
+def q_mode_impute(spark, sf):
+    from rowaudit.operators.clean import mode_impute
+    return mode_impute(_events_nulls(spark, sf).select("row_id", "event_type"), "event_type")
+
+
+@register("text_fill_empty", """
+SELECT doc_id AS row_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE text END AS text FROM documents
+""")
+def q_text_fill_empty(spark, sf):
+    from rowaudit.operators.clean import text_fill_empty
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"),
+                                             F.when(F.col("doc_id") % 17 == 0, F.lit(None)).otherwise(F.col("text")).alias("text"))
+    return text_fill_empty(d, "text")
+
+
+@register("datetime_ffill_bfill", f"""
+WITH {EVENTS_NULLS_SQL}
+SELECT row_id, coalesce(
+  last_value(ts IGNORE NULLS) OVER (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(ts IGNORE NULLS) OVER (ORDER BY row_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS ts
+FROM events_n
+""")
+def q_datetime_ffill_bfill(spark, sf):
+    from rowaudit.operators.clean import ffill_bfill
+    return ffill_bfill(_events_nulls(spark, sf).select("row_id", "ts"), "ts")
+
+
+TEXT_CLEAN_SQL = ("trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({t}, '')), 'http\\S+', '', 'g'), "
+                  "'[^a-zA-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))")
+
+
+@register("clean_text", f"""
+SELECT doc_id AS row_id, {TEXT_CLEAN_SQL.format(t='text')} AS text_clean FROM documents
+""")
+def q_clean_text(spark, sf):
+    from rowaudit.functions.text import clean_text
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("row_id"), clean_text(F.col("text")).alias("text_clean"))
+
+
+@register("text_length", "SELECT doc_id AS row_id, CAST(length(text) AS INTEGER) AS text_length FROM documents")
+def q_text_length(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("row_id"), F.length("text").alias("text_length"))
+
+
+@register("word_count", """
+SELECT doc_id AS row_id, CAST(len(regexp_extract_all(text, '\\S+')) AS INTEGER) AS word_count FROM documents
+""")
+def q_word_count(spark, sf):
+    from rowaudit.functions.text import word_count
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("row_id"), word_count(F.col("text")).alias("word_count"))
+
+
+def _lexicon_values() -> str:
+    from rowaudit.functions.lexicon import DEFAULT_LEXICON
+    return ", ".join(f"('{w}', {p!r}, {s!r})" for w, p, s in DEFAULT_LEXICON)
+
+
+TOKENS_SQL = "regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+
+
+def _lexicon_mean_sql(table_sql: str, id_col: str, text_col: str, which: str) -> str:
+    """(row_id, score): mean lexicon score of the text's tokens, 0 if none."""
+    return f"""lex(word, polarity, subjectivity) AS (VALUES {_lexicon_values()}),
+toks AS (SELECT {id_col} AS row_id, unnest({TOKENS_SQL.format(t=text_col)}) AS word FROM {table_sql}),
+scored AS (SELECT t.row_id, avg(l.{which}) AS s FROM toks t JOIN lex l ON t.word = l.word GROUP BY t.row_id),
+lexmean AS (SELECT d.{id_col} AS row_id, coalesce(s.s, 0.0) AS {which}
+            FROM {table_sql} d LEFT JOIN scored s ON d.{id_col} = s.row_id)"""
+
+
+@register("sentiment_polarity", f"""
+WITH {_lexicon_mean_sql('documents', 'doc_id', 'text', 'polarity')}
+SELECT row_id, round(polarity, 6) AS sentiment FROM lexmean
+""")
+def q_sentiment_polarity(spark, sf):
+    from rowaudit.operators.clean import text_features
+    d = table(spark, sf, "documents").withColumn("row_id", F.col("doc_id"))
+    return text_features(d.select("row_id", "text"), "text").select("row_id", F.round("text_sentiment", 6).alias("sentiment"))
+
+
+@register("minmax_normalize", """
+WITH s AS (SELECT min(value) AS lv, max(value) AS hv, min(user_id) AS lu, max(user_id) AS hu FROM events)
+SELECT event_id AS row_id, round((value - lv) / (hv - lv), 6) AS value,
+       round((user_id - lu) / CAST(hu - lu AS DOUBLE), 6) AS user_id
+FROM events, s
+""")
+def q_minmax_normalize(spark, sf):
+    from rowaudit.operators.clean import minmax_normalize
+    d = minmax_normalize(events(spark, sf).select("row_id", "value", "user_id"), ["value", "user_id"])
+    return d.select("row_id", F.round("value", 6).alias("value"), F.round("user_id", 6).alias("user_id"))
+
+
+@register("category_codes", f"""
+WITH {EVENTS_NULLS_SQL}, c AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS code
+  FROM (SELECT DISTINCT event_type FROM events_n WHERE event_type IS NOT NULL))
+SELECT e.row_id, coalesce(c.code, -1) AS event_type FROM events_n e LEFT JOIN c ON e.event_type = c.event_type
+""")
+def q_category_codes(spark, sf):
+    from rowaudit.operators.clean import category_codes
+    return category_codes(_events_nulls(spark, sf).select("row_id", "event_type"), "event_type")
+
+
+@register("one_hot", f"""
+WITH {EVENTS_NULLS_SQL}
+SELECT row_id,
+  CAST(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS INTEGER) AS event_type_click,
+  CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS INTEGER) AS event_type_error,
+  CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS INTEGER) AS event_type_purchase,
+  CAST(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS INTEGER) AS event_type_signup,
+  CAST(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS INTEGER) AS event_type_view
+FROM events_n
+""")
+def q_one_hot(spark, sf):
+    from rowaudit.operators.clean import one_hot
+    return one_hot(_events_nulls(spark, sf).select("row_id", "event_type"), "event_type")
+
+
+@register("standard_scale", """
+WITH s AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(user_id) AS mu, stddev_pop(user_id) AS su FROM events)
+SELECT event_id AS row_id, round((value - mv) / CASE WHEN sv > 0 THEN sv ELSE 1 END, 6) AS value,
+       round((user_id - mu) / CASE WHEN su > 0 THEN su ELSE 1 END, 6) AS user_id
+FROM events, s
+""")
+def q_standard_scale(spark, sf):
+    from rowaudit.operators.clean import standard_scale
+    d = standard_scale(events(spark, sf).select("row_id", "value", "user_id"), ["value", "user_id"])
+    return d.select("row_id", F.round("value", 6).alias("value"), F.round("user_id", 6).alias("user_id"))
+
+
+ORDER_RULES = [
+    ru.ColumnRule("o_totalprice", ru.NUMERICAL, min_val=2000.0, max_val=450000.0),
+    ru.ColumnRule("o_orderstatus", ru.CATEGORICAL, is_feature=False, valid_categories=["F", "O"]),
+    ru.ColumnRule("o_orderpriority", ru.CATEGORICAL, valid_categories=[
+        "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]),
+    ru.ColumnRule("o_custkey", ru.NUMERICAL, is_feature=False),
+]
+ORDER_P1_WHERE = """((o_totalprice IS NOT NULL AND NOT isnan(o_totalprice) AND (o_totalprice < 2000.0 OR o_totalprice > 450000.0))
+   OR (o_orderstatus IS NOT NULL AND o_orderstatus NOT IN ('F', 'O'))
+   OR (o_orderpriority IS NOT NULL AND o_orderpriority NOT IN ('1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW')))"""
+
+
+def orders(spark, sf):
+    return table(spark, sf, "orders").withColumn("row_id", F.col("o_orderkey"))
+
+
+@register("select_features", "SELECT o_orderkey AS row_id, o_totalprice, o_orderpriority FROM orders")
+def q_select_features(spark, sf):
+    from rowaudit.operators.clean import select_features
+    return select_features(orders(spark, sf), ORDER_RULES)
+
+
+@register("clean_nonfinite", """
+SELECT event_id AS row_id, CASE WHEN event_id % 17 = 0 OR event_id % 19 = 0 THEN 0.0 ELSE value END AS value FROM events
+""")
+def q_clean_nonfinite(spark, sf):
+    from rowaudit.operators.clean import clean_nonfinite
+    e = events(spark, sf).select("row_id", F.when(F.col("event_id") % 17 == 0, F.lit(float("inf")))
+                                 .when(F.col("event_id") % 19 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+    return clean_nonfinite(e, ["value"])
+
+
+@register("prepare_table", """
+WITH s AS (SELECT min(o_orderkey) AS lk, max(o_orderkey) AS hk, min(o_custkey) AS lc, max(o_custkey) AS hc,
+                  min(o_totalprice) AS lp, max(o_totalprice) AS hp FROM orders),
+st AS (SELECT o_orderstatus, CAST(row_number() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT o_orderstatus FROM orders)),
+pr AS (SELECT o_orderpriority, CAST(row_number() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT o_orderpriority FROM orders))
+SELECT o.o_orderkey AS row_id,
+  round((o.o_orderkey - lk) / CAST(hk - lk AS DOUBLE), 6) AS o_orderkey,
+  round((o.o_custkey - lc) / CAST(hc - lc AS DOUBLE), 6) AS o_custkey,
+  st.code AS o_orderstatus,
+  round((o.o_totalprice - lp) / (hp - lp), 6) AS o_totalprice,
+  o.o_orderdate, pr.code AS o_orderpriority
+FROM orders o CROSS JOIN s JOIN st ON o.o_orderstatus = st.o_orderstatus JOIN pr ON o.o_orderpriority = pr.o_orderpriority
+""")
+def q_prepare_table(spark, sf):
+    from rowaudit.operators.clean import prepare_table
+    p = prepare_table(orders(spark, sf))
+    return p.select("row_id", *[F.round(c, 6).alias(c) for c in ("o_orderkey", "o_custkey")], "o_orderstatus",
+                    F.round("o_totalprice", 6).alias("o_totalprice"), "o_orderdate", "o_orderpriority")
+
+
+# ------------------------------------------------------- D: gatekeeper (cont.)
+def _orders_type_errors(spark, sf):
+    """orders with o_totalprice as text, TYPE_ERROR on the first poison phase."""
+    from rowaudit.operators.poison import pick_poison_rows
+    d, _ = pick_poison_rows(orders(spark, sf), 0.05, 42)
+    return d.withColumn("o_totalprice", F.when(F.col("poison_phase") == 1, F.lit("TYPE_ERROR"))
+                        .otherwise(F.col("o_totalprice").cast("string")))
+
+
+PICK_SQL = """picked AS (
+  SELECT o_orderkey AS row_id, row_number() OVER (ORDER BY md5('42:pick:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS rk
+  FROM orders),
+ph AS (SELECT row_id, rk, greatest(1, CAST(floor((SELECT count(*) FROM orders) * 0.05) AS BIGINT) // 3) AS m FROM picked),
+phases AS (SELECT row_id, CASE WHEN rk <= 3 * m THEN CAST(ceil(rk / m) AS INTEGER) END AS poison_phase,
+                  CASE WHEN rk <= 3 * m THEN (rk - 1) % m END AS poison_pos FROM ph)"""
+
+
+@register("type_check", f"""
+WITH {PICK_SQL}
+SELECT row_id, 'Type error o_totalprice' AS reason FROM phases WHERE poison_phase = 1
+""")
+def q_type_check(spark, sf):
+    d = _orders_type_errors(spark, sf)
+    f = ru.check_table(d, [ru.ColumnRule("o_totalprice", ru.NUMERICAL)], "p1")
+    return f.where(F.col("p1").isNotNull()).select("row_id", F.col("p1.reason").alias("reason"))
+
+
+def documents(spark, sf):
+    return table(spark, sf, "documents").withColumn("row_id", F.col("doc_id"))
+
+
+@register("length_check", """
+SELECT doc_id AS row_id, 'Length violation' AS reason FROM documents
+WHERE coalesce(length(text), 0) < 10 OR coalesce(length(text), 0) > 5000
+""")
+def q_length_check(spark, sf):
+    r = ru.TextRules(flag_urls=False, flag_gibberish=False)
+    return ru.text_flags(documents(spark, sf), "text", r).select("row_id", "reason")
+
+
+def pages(spark, sf):
+    return table(spark, sf, "pages").withColumn("row_id", F.col("page_id"))
+
+
+@register("url_check", "SELECT page_id AS row_id, 'Contains URL' AS reason FROM pages WHERE regexp_matches(html, 'https?://')")
+def q_url_check(spark, sf):
+    r = ru.TextRules(min_length=0, max_length=2 ** 31 - 1, flag_gibberish=False)
+    return ru.text_flags(pages(spark, sf), "html", r).select("row_id", "reason")
+
+
+@register("gibberish_check", f"""
+WITH {_lexicon_mean_sql('documents', 'doc_id', 'text', 'subjectivity')}
+SELECT l.row_id, round(l.subjectivity, 6) AS subjectivity FROM lexmean l JOIN documents d ON d.doc_id = l.row_id
+WHERE len(regexp_extract_all(d.text, '\\S+')) > 3 AND l.subjectivity < 0.01
+""")
+def q_gibberish_check(spark, sf):
+    r = ru.TextRules(min_length=0, max_length=2 ** 31 - 1, flag_urls=False)
+    f = ru.text_flags(documents(spark, sf), "text", r)
+    return f.select("row_id", F.round("score", 6).alias("subjectivity"))
+
+
+@register("html_check", """
+SELECT page_id AS row_id, 'Contains HTML' AS reason FROM pages WHERE regexp_matches(html, '<[a-zA-Z/!][^>]*>')
+""")
+def q_html_check(spark, sf):
+    r = ru.TextRules(min_length=0, max_length=2 ** 31 - 1, flag_urls=False, flag_gibberish=False, flag_html=True)
+    return ru.text_flags(pages(spark, sf), "html", r).select("row_id", "reason")
+
+
+def _pii_sql(t: str) -> str:
+    from rowaudit.functions.text import CARD_PATTERN, EMAIL_PATTERN, IPV4_PATTERN, PHONE_PATTERN
+    return (f"CASE WHEN regexp_matches({t}, '{EMAIL_PATTERN}') THEN 'email' "
+            f"WHEN regexp_matches({t}, '{CARD_PATTERN}') THEN 'card' "
+            f"WHEN regexp_matches({t}, '{IPV4_PATTERN}') THEN 'ipv4' "
+            f"WHEN regexp_matches({t}, '{PHONE_PATTERN}') THEN 'phone' END")
+
+
+@register("pii_check", f"""
+SELECT doc_id AS row_id, 'Personal data ' || kind AS reason
+FROM (SELECT doc_id, {_pii_sql('text')} AS kind FROM documents) WHERE kind IS NOT NULL
+""")
+def q_pii_check(spark, sf):
+    r = ru.TextRules(min_length=0, max_length=2 ** 31 - 1, flag_urls=False, flag_gibberish=False, flag_pii=True)
+    return ru.text_flags(documents(spark, sf), "text", r).select("row_id", "reason")
+
+
+@register("language_check", """
+SELECT doc_id AS row_id, 'Language mismatch' AS reason FROM documents WHERE lang IS NULL OR lang <> 'en'
+""")
+def q_language_check(spark, sf):
+    r = ru.TextRules(min_length=0, max_length=2 ** 31 - 1, flag_urls=False, flag_gibberish=False, language="en")
+    return ru.text_flags(documents(spark, sf), "text", r).select("row_id", "reason")
+
+
+PERPLEXITY_LIMIT = 30.0
+
+
+@register("perplexity_check", """
+WITH g AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substring(lower(text), i, 3))) AS tri FROM documents),
+c AS (SELECT tri, count(*) AS n FROM g GROUP BY tri),
+ctx AS (SELECT substring(tri, 1, 2) AS cx, sum(n) AS cn FROM c GROUP BY 1),
+v AS (SELECT count(DISTINCT substring(tri, 3, 1)) AS v FROM c),
+m AS (SELECT c.tri, ln((c.n + 1.0) / (ctx.cn + v.v)) AS lp FROM c JOIN ctx ON substring(c.tri, 1, 2) = ctx.cx CROSS JOIN v),
+p AS (SELECT g.doc_id, exp(-avg(m.lp)) AS perplexity FROM g JOIN m ON g.tri = m.tri GROUP BY g.doc_id)
+SELECT d.doc_id AS row_id, round(p.perplexity, 6) AS perplexity, p.perplexity > 30.0 AS flagged
+FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id
+""")
+def q_perplexity_check(spark, sf):
+    from rowaudit.operators.text import perplexity_outliers
+    d = perplexity_outliers(documents(spark, sf), "text", PERPLEXITY_LIMIT)
+    return d.select("row_id", F.round("perplexity", 6).alias("perplexity"), F.col("p1ppl").isNotNull().alias("flagged"))
