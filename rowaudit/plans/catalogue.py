@@ -465,10 +465,10 @@ def pages(spark, sf):
     return table(spark, sf, "pages").withColumn("row_id", F.col("page_id"))
 
 
-@register("url_check", "SELECT page_id AS row_id, 'Contains URL' AS reason FROM pages WHERE regexp_matches(html, 'https?://')")
+@register("url_check", "SELECT page_id AS row_id, 'Contains URL' AS reason FROM pages WHERE regexp_matches(url, 'https?://')")
 def q_url_check(spark, sf):
     r = ru.TextRules(min_length=0, max_length=2 ** 31 - 1, flag_gibberish=False)
-    return ru.text_flags(pages(spark, sf), "html", r).select("row_id", "reason")
+    return ru.text_flags(pages(spark, sf), "url", r).select("row_id", "reason")
 
 
 @register("gibberish_check", f"""
@@ -532,3 +532,200 @@ def q_perplexity_check(spark, sf):
     from rowaudit.operators.text import perplexity_outliers
     d = perplexity_outliers(documents(spark, sf), "text", PERPLEXITY_LIMIT)
     return d.select("row_id", F.round("perplexity", 6).alias("perplexity"), F.col("p1ppl").isNotNull().alias("flagged"))
+
+
+# ------------------------------------------------------- events sanitize (rules + z-score)
+EVENT_FLAGS_SQL = """p1 AS (
+  SELECT event_id AS row_id,
+    CASE WHEN value IS NOT NULL AND NOT isnan(value) AND (value < 0.05 OR value > 400.0) THEN 0
+         WHEN event_type IS NOT NULL AND event_type NOT IN ('click','view','purchase','signup') THEN 1
+         WHEN user_id IS NOT NULL AND (user_id < 0 OR user_id > 140) THEN 2 END AS seq
+  FROM events),
+clean AS (SELECT e.* FROM events e JOIN p1 ON e.event_id = p1.row_id WHERE p1.seq IS NULL),
+st AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(user_id) AS mu, stddev_pop(user_id) AS su FROM clean),
+p2 AS (SELECT event_id AS row_id,
+    CASE WHEN abs((value - mv) / CASE WHEN sv > 0 THEN sv ELSE 1 END) > 4 THEN 0
+         WHEN abs((user_id - mu) / CASE WHEN su > 0 THEN su ELSE 1 END) > 4 THEN 1 END AS seq
+  FROM clean, st),
+reasons(phase, seq, col, reason) AS (VALUES (1, 0, 'value', 'Range violation value'),
+  (1, 1, 'event_type', 'Invalid category event_type'), (1, 2, 'user_id', 'Range violation user_id'),
+  (2, 0, 'value', 'Z-score outlier value'), (2, 1, 'user_id', 'Z-score outlier user_id')),
+flags AS (
+  SELECT f.row_id, CAST(r.phase AS INTEGER) AS phase, CAST(f.seq AS INTEGER) AS seq, r.col AS "column", r.reason
+  FROM (SELECT row_id, 1 AS phase, seq FROM p1 WHERE seq IS NOT NULL
+        UNION ALL SELECT row_id, 2, seq FROM p2 WHERE seq IS NOT NULL) f
+  JOIN reasons r ON f.phase = r.phase AND f.seq = r.seq)"""
+
+
+def event_flags(spark, sf):
+    from rowaudit.plans.jobs import sanitize_table
+    return sanitize_table(events(spark, sf), EVENT_RULES, "none", "event_type", use_forest=False)
+
+
+FLAG_COLS = ["row_id", "phase", "seq", "column", "reason"]
+
+
+@register("zscore_outliers", f"WITH {EVENT_FLAGS_SQL} SELECT row_id, seq, \"column\", reason FROM flags WHERE phase = 2")
+def q_zscore_outliers(spark, sf):
+    return event_flags(spark, sf).where(F.col("phase") == 2).select("row_id", "seq", "column", "reason")
+
+
+@register("clean_rows_anti", f"WITH {EVENT_FLAGS_SQL} SELECT event_id AS row_id FROM events WHERE event_id NOT IN (SELECT row_id FROM flags WHERE phase = 1)")
+def q_clean_rows_anti(spark, sf):
+    p1 = fl.flags_from(event_p1(spark, sf), "p1", 1)
+    return fl.drop_flagged(events(spark, sf), p1).select("row_id")
+
+
+@register("first_flag_wins", """
+WITH s AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv FROM events),
+u AS (
+  SELECT event_id AS row_id, 1 AS phase, 0 AS seq, 'value' AS col, 'Range violation value' AS reason FROM events
+    WHERE value IS NOT NULL AND NOT isnan(value) AND (value < 0.05 OR value > 400.0)
+  UNION ALL SELECT event_id, 1, 1, 'event_type', 'Invalid category event_type' FROM events
+    WHERE event_type IS NOT NULL AND event_type NOT IN ('click','view','purchase','signup')
+  UNION ALL SELECT event_id, 2, 0, 'value', 'Z-score outlier value' FROM events, s WHERE abs((value - mv) / sv) > 4)
+SELECT row_id, CAST(phase AS INTEGER) AS phase, CAST(seq AS INTEGER) AS seq, col AS "column", reason
+FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY phase, seq) AS r FROM u) WHERE r = 1
+""")
+def q_first_flag_wins(spark, sf):
+    e = events(spark, sf)
+    rng = ru.table_flags(e, [EVENT_RULES[0]])
+    cat = ru.table_flags(e, [ru.ColumnRule("value", ru.NUMERICAL), EVENT_RULES[1]])
+    z = fl.flags_from(ol.zscore(e, ["value"], 4.0, "p2"), "p2", 2)
+    return fl.merge_flags(rng, cat, z).select(*FLAG_COLS)
+
+
+@register("phase_counts", f"WITH {EVENT_FLAGS_SQL} SELECT CAST(phase AS INTEGER) AS phase, CAST(count(*) AS BIGINT) AS n_flagged FROM flags GROUP BY phase")
+def q_phase_counts(spark, sf):
+    return fl.phase_counts(event_flags(spark, sf))
+
+
+@register("basic_metrics", f"""WITH {EVENT_FLAGS_SQL}
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM events) AS total_rows, (SELECT CAST(count(DISTINCT row_id) AS BIGINT) FROM flags) AS flagged_rows""")
+def q_basic_metrics(spark, sf):
+    return fl.basic_metrics(events(spark, sf), event_flags(spark, sf))
+
+
+@register("findings_report", f"""WITH {EVENT_FLAGS_SQL}
+SELECT phase, reason, CAST(count(*) AS BIGINT) AS n_flagged,
+       round(count(*) * 100.0 / (SELECT count(*) FROM events), 6) AS pct_of_rows
+FROM flags GROUP BY phase, reason""")
+def q_findings_report(spark, sf):
+    return fl.findings_report(event_flags(spark, sf), events(spark, sf))
+
+
+@register("flagged_page", f"""WITH {EVENT_FLAGS_SQL}
+SELECT e.event_id AS row_id, e.event_type, e.value, f.reason FROM events e JOIN flags f ON e.event_id = f.row_id
+ORDER BY row_id LIMIT 10 OFFSET 20""")
+def q_flagged_page(spark, sf):
+    e = events(spark, sf).select("row_id", "event_type", "value")
+    return fl.flagged_page(e, event_flags(spark, sf), page=3, page_size=10)
+
+
+@register("review_batch", f"""WITH {EVENT_FLAGS_SQL}
+SELECT e.event_id AS row_id, e.event_type, e.value, f.reason
+FROM (SELECT * FROM events ORDER BY event_id LIMIT 200) e LEFT JOIN flags f ON e.event_id = f.row_id""")
+def q_review_batch(spark, sf):
+    e = events(spark, sf).select("row_id", "event_type", "value")
+    return fl.review_batch(e, event_flags(spark, sf), 200)
+
+
+def _verdicts(spark, sf):
+    """Reviewer verdicts for the first 200 rows (derived: row_id % 3)."""
+    head = events(spark, sf).orderBy("row_id").limit(200).select("row_id")
+    v = F.when(F.col("row_id") % 3 == 0, "keep").when(F.col("row_id") % 3 == 1, "remove").otherwise("flag")
+    return head.select("row_id", v.alias("verdict"), F.lit("reviewed").alias("reason"))
+
+
+@register("adjudicate_flags", f"""WITH {EVENT_FLAGS_SQL},
+v AS (SELECT event_id AS row_id, CASE event_id % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'remove' ELSE 'flag' END AS verdict
+      FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 200)),
+j AS (SELECT coalesce(f.row_id, v.row_id) AS row_id, f.phase, f.seq, f."column", f.reason, v.verdict
+      FROM flags f FULL OUTER JOIN v ON f.row_id = v.row_id)
+SELECT row_id,
+  CAST(CASE WHEN verdict = 'flag' THEN 4 ELSE phase END AS INTEGER) AS phase,
+  CAST(CASE WHEN verdict = 'flag' THEN 0 ELSE seq END AS INTEGER) AS seq,
+  CASE WHEN verdict = 'flag' THEN NULL ELSE "column" END AS "column",
+  CASE WHEN verdict = 'flag' THEN 'Judge: reviewed' ELSE reason END AS reason
+FROM j WHERE coalesce(verdict, '') <> 'remove' AND (reason IS NOT NULL OR verdict = 'flag')""")
+def q_adjudicate_flags(spark, sf):
+    return fl.adjudicate(event_flags(spark, sf), _verdicts(spark, sf)).select(*FLAG_COLS)
+
+
+@register("apply_decisions", f"""WITH {EVENT_FLAGS_SQL}
+SELECT event_id AS row_id FROM events
+WHERE event_id NOT IN (SELECT row_id FROM flags WHERE row_id % 3 <> 0)""")
+def q_apply_decisions(spark, sf):
+    f = event_flags(spark, sf)
+    dec = f.select("row_id", F.when(F.col("row_id") % 3 == 0, "keep").otherwise("remove").alias("decision"))
+    return fl.apply_decisions(events(spark, sf), f, dec).select("row_id")
+
+
+@register("export_clean_rows", f"""WITH {EVENT_FLAGS_SQL}
+SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE event_id NOT IN (SELECT row_id FROM flags)""")
+def q_export_clean_rows(spark, sf):
+    return fl.drop_flagged(events(spark, sf), event_flags(spark, sf)).drop("row_id")
+
+
+@register("iqr_outliers", """
+WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+SELECT event_id AS row_id, value FROM events, q
+WHERE value IS NOT NULL AND NOT isnan(value) AND (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1))""")
+def q_iqr_outliers(spark, sf):
+    d = ol.iqr_outliers(events(spark, sf), ["value"], 1.5, "p2")
+    return d.where(F.col("p2").isNotNull()).select("row_id", "value")
+
+
+@register("rare_categories", """
+WITH c AS (SELECT user_id, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1),
+t AS (SELECT count(*) AS total FROM events WHERE user_id IS NOT NULL)
+SELECT e.event_id AS row_id, e.user_id, round(c.n / CAST(t.total AS DOUBLE), 6) AS share
+FROM events e JOIN c ON e.user_id = c.user_id, t WHERE c.n < 0.006 * t.total""")
+def q_rare_categories(spark, sf):
+    d = ol.rare_categories(events(spark, sf), "user_id", 0.006, "p2")
+    return d.where(F.col("p2").isNotNull()).select("row_id", "user_id", F.round("p2.score", 6).alias("share"))
+
+
+# ------------------------------------------------------- windows, sort, sampling
+@register("stratified_folds", """
+SELECT o_orderkey AS row_id, CAST((row_number() OVER (PARTITION BY o_orderstatus
+  ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1) % 5 AS INTEGER) AS fold FROM orders""")
+def q_stratified_folds(spark, sf):
+    from rowaudit.operators.rows import stratified_folds
+    return stratified_folds(orders(spark, sf), "o_orderstatus", 5, seed=42).select("row_id", "fold")
+
+
+LABELLED_DOCS_SQL = "ld AS (SELECT d.doc_id, d.text, d.source, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+
+
+def labelled_docs(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text", "source")
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    return d.join(lab, "doc_id").withColumn("row_id", F.col("doc_id"))
+
+
+@register("stratified_folds_unshuffled", f"""
+WITH {LABELLED_DOCS_SQL},
+r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS rk FROM ld),
+sz AS (SELECT quality, count(*) AS n FROM ld GROUP BY quality),
+st AS (SELECT quality, n, coalesce(sum(n) OVER (ORDER BY quality ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM sz),
+b AS (SELECT quality, i AS fold, floor((s + n - 1 - i) / 5.0) - floor((s - 1 - i) / 5.0) AS alloc FROM st, range(0, 5) t(i)),
+c AS (SELECT quality, fold, sum(alloc) OVER (PARTITION BY quality ORDER BY fold) AS hi, alloc FROM b)
+SELECT r.doc_id AS row_id, CAST(c.fold AS INTEGER) AS fold FROM r JOIN c ON r.quality = c.quality AND r.rk > c.hi - c.alloc AND r.rk <= c.hi""")
+def q_stratified_folds_unshuffled(spark, sf):
+    from rowaudit.operators.rows import stratified_folds
+    return stratified_folds(labelled_docs(spark, sf), "quality", 5, shuffle=False).select("row_id", "fold")
+
+
+@register("bounded_sample", """
+SELECT o_orderkey AS row_id FROM orders ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 2000""")
+def q_bounded_sample(spark, sf):
+    from rowaudit.operators.rows import bounded_sample
+    return bounded_sample(orders(spark, sf), 2000, 42).select("row_id")
+
+
+@register("shuffle_with_mapping", """
+SELECT o_orderkey AS orig_id, row_number() OVER (ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1 AS new_id FROM orders""")
+def q_shuffle_with_mapping(spark, sf):
+    from rowaudit.operators.rows import shuffle_with_mapping
+    return shuffle_with_mapping(orders(spark, sf), 42).select("orig_id", "new_id")
