@@ -729,3 +729,255 @@ SELECT o_orderkey AS orig_id, row_number() OVER (ORDER BY md5('42:' || CAST(o_or
 def q_shuffle_with_mapping(spark, sf):
     from rowaudit.operators.rows import shuffle_with_mapping
     return shuffle_with_mapping(orders(spark, sf), 42).select("orig_id", "new_id")
+
+
+# ------------------------------------------------------- J: poison injection
+def _pick_sql(tbl: str, key: str, p: float = 0.05) -> str:
+    return f"""picked AS (
+  SELECT {key} AS row_id, row_number() OVER (ORDER BY md5('42:pick:' || CAST({key} AS VARCHAR)), {key}) AS rk FROM {tbl}),
+ph AS (SELECT row_id, rk, greatest(1, CAST(floor((SELECT count(*) FROM {tbl}) * {p}) AS BIGINT) // 3) AS m FROM picked),
+phases AS (SELECT row_id, CASE WHEN rk <= 3 * m THEN CAST(ceil(rk / m) AS INTEGER) END AS poison_phase,
+                  CASE WHEN rk <= 3 * m THEN (rk - 1) % m END AS poison_pos FROM ph)"""
+
+
+def _flip_sql(label: str, labs: str) -> str:
+    others = f"list_filter({labs}, lambda x: x != {label})"
+    return (f"{others}[1 + CAST(('0x' || substr(md5('42:flip:' || CAST(row_id AS VARCHAR)), 1, 8))::BIGINT "
+            f"% len({others}) AS INTEGER)]")
+
+
+def _shuffle_sql(src: str) -> str:
+    return (f"SELECT *, row_id AS orig_id, row_number() OVER (ORDER BY md5('42:shuffle:' || CAST(row_id AS VARCHAR)), row_id) - 1 AS new_id "
+            f"FROM {src}")
+
+
+@register("pick_poison_rows", f"WITH {_pick_sql('orders', 'o_orderkey')} SELECT row_id, poison_phase, poison_pos FROM phases WHERE poison_phase IS NOT NULL")
+def q_pick_poison_rows(spark, sf):
+    from rowaudit.operators.poison import pick_poison_rows
+    d, _ = pick_poison_rows(orders(spark, sf), 0.05, 42)
+    return d.where(F.col("poison_phase").isNotNull()).select("row_id", "poison_phase", "poison_pos")
+
+
+# regression injection over `part`: target p_retailprice, feature p_size
+PART_POISON_SQL = f"""{_pick_sql('part', 'p_partkey')},
+base AS (SELECT p.p_partkey AS row_id, p.p_size, p.p_retailprice, ph.poison_phase FROM part p JOIN phases ph ON p.p_partkey = ph.row_id),
+sd AS (SELECT stddev_samp(p_size) AS sd FROM base WHERE poison_phase IS DISTINCT FROM 1),
+s2 AS (SELECT row_id, poison_phase,
+         CASE WHEN poison_phase = 1 THEN -99999.0 ELSE CAST(p_retailprice AS DOUBLE) END AS p_retailprice,
+         CASE WHEN poison_phase = 1 THEN NULL WHEN poison_phase = 2 THEN p_size + 20 * sd ELSE CAST(p_size AS DOUBLE) END AS size_num
+       FROM base, sd),
+mn AS (SELECT min(size_num) AS mn FROM s2),
+poisoned AS (SELECT row_id, poison_phase, p_retailprice, coalesce(poison_phase = 1, false) AS is_type_error,
+         CASE WHEN poison_phase = 3 THEN mn ELSE size_num END AS p_size FROM s2, mn)"""
+
+
+def _part_poisoned(spark, sf, shuffle: bool):
+    from rowaudit.functions.numeric import strict_double
+    from rowaudit.operators.poison import poison_regression
+    p = table(spark, sf, "part").withColumn("row_id", F.col("p_partkey"))
+    d = poison_regression(p, "p_retailprice", ["p_size"], 0.05, 42, shuffle=shuffle)
+    return d.withColumn("is_type_error", F.col("p_size") == "TYPE_ERROR") \
+        .withColumn("p_size", F.round(strict_double(F.col("p_size")), 6)) \
+        .withColumn("p_retailprice", F.round("p_retailprice", 6))
+
+
+@register("inject_type_error", f"WITH {PART_POISON_SQL} SELECT row_id, is_type_error, p_size, round(p_retailprice, 6) AS p_retailprice FROM poisoned WHERE poison_phase = 1")
+def q_inject_type_error(spark, sf):
+    return _part_poisoned(spark, sf, False).where(F.col("poison_phase") == 1).select("row_id", "is_type_error", "p_size", "p_retailprice")
+
+
+@register("inject_outlier", f"WITH {PART_POISON_SQL} SELECT row_id, round(p_size, 6) AS p_size FROM poisoned WHERE poison_phase = 2")
+def q_inject_outlier(spark, sf):
+    return _part_poisoned(spark, sf, False).where(F.col("poison_phase") == 2).select("row_id", "p_size")
+
+
+@register("inject_min_mismatch", f"WITH {PART_POISON_SQL} SELECT row_id, round(p_size, 6) AS p_size, round(p_retailprice, 6) AS p_retailprice FROM poisoned WHERE poison_phase = 3")
+def q_inject_min_mismatch(spark, sf):
+    return _part_poisoned(spark, sf, False).where(F.col("poison_phase") == 3).select("row_id", "p_size", "p_retailprice")
+
+
+@register("poison_regression_table", f"""WITH {PART_POISON_SQL}, sh AS ({_shuffle_sql('poisoned')})
+SELECT new_id AS row_id, orig_id, is_type_error, round(p_size, 6) AS p_size, round(p_retailprice, 6) AS p_retailprice,
+       CAST(poison_phase IS NOT NULL AS INTEGER) AS is_actual_poisoned FROM sh""")
+def q_poison_regression_table(spark, sf):
+    d = _part_poisoned(spark, sf, True)
+    return d.select("row_id", "orig_id", "is_type_error", "p_size", "p_retailprice", "is_actual_poisoned")
+
+
+# classification injection over `orders`: target o_orderstatus, feature o_totalprice
+ORDERS_POISON_SQL = f"""{_pick_sql('orders', 'o_orderkey')},
+base AS (SELECT o.o_orderkey AS row_id, o.o_totalprice, o.o_orderstatus, ph.poison_phase FROM orders o JOIN phases ph ON o.o_orderkey = ph.row_id),
+sd AS (SELECT stddev_samp(o_totalprice) AS sd FROM base WHERE poison_phase IS DISTINCT FROM 1),
+labs AS (SELECT list_sort(list(DISTINCT o_orderstatus)) AS labs FROM orders),
+poisoned AS (SELECT row_id, poison_phase, coalesce(poison_phase = 1, false) AS is_type_error,
+    CASE WHEN poison_phase = 1 THEN NULL WHEN poison_phase = 2 THEN o_totalprice + 10 * sd ELSE o_totalprice END AS o_totalprice,
+    CASE WHEN poison_phase = 3 THEN {_flip_sql('o_orderstatus', 'labs')} ELSE o_orderstatus END AS o_orderstatus,
+    o_orderstatus AS original_status
+  FROM base, sd, labs)"""
+
+
+def _orders_poisoned(spark, sf, shuffle: bool):
+    from rowaudit.functions.numeric import strict_double
+    from rowaudit.operators.poison import poison_classification
+    d = poison_classification(orders(spark, sf).withColumn("original_status", F.col("o_orderstatus")),
+                              "o_orderstatus", ["o_totalprice"], 0.05, 42, shuffle=shuffle)
+    return d.withColumn("is_type_error", F.col("o_totalprice") == "TYPE_ERROR") \
+        .withColumn("o_totalprice_num", strict_double(F.col("o_totalprice")))
+
+
+@register("inject_label_flip", f"WITH {ORDERS_POISON_SQL} SELECT row_id, original_status, o_orderstatus FROM poisoned WHERE poison_phase = 3")
+def q_inject_label_flip(spark, sf):
+    return _orders_poisoned(spark, sf, False).where(F.col("poison_phase") == 3).select("row_id", "original_status", "o_orderstatus")
+
+
+@register("poison_classification_table", f"""WITH {ORDERS_POISON_SQL}, sh AS ({_shuffle_sql('poisoned')})
+SELECT new_id AS row_id, orig_id, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, is_type_error,
+       CAST(poison_phase IS NOT NULL AS INTEGER) AS is_actual_poisoned FROM sh""")
+def q_poison_classification_table(spark, sf):
+    d = _orders_poisoned(spark, sf, True)
+    return d.select("row_id", "orig_id", "o_orderstatus", F.round("o_totalprice_num", 6).alias("o_totalprice"),
+                    "is_type_error", "is_actual_poisoned")
+
+
+@register("truth_semi", f"""WITH {_pick_sql('orders', 'o_orderkey')}
+SELECT row_id, CAST(poison_phase IS NOT NULL AS INTEGER) AS is_actual_poisoned FROM phases""")
+def q_truth_semi(spark, sf):
+    from rowaudit.operators.poison import pick_poison_rows
+    d, _ = pick_poison_rows(orders(spark, sf), 0.05, 42)
+    truth = d.where(F.col("poison_phase").isNotNull()).select("row_id")
+    return fl.mark_truth(orders(spark, sf).select("row_id"), truth)
+
+
+@register("row_status", f"""WITH {_pick_sql('orders', 'o_orderkey')},
+f AS (SELECT o_orderkey AS row_id,
+  CASE WHEN o_totalprice IS NOT NULL AND NOT isnan(o_totalprice) AND (o_totalprice < 2000.0 OR o_totalprice > 450000.0) THEN 'Range violation o_totalprice'
+       WHEN o_orderstatus IS NOT NULL AND o_orderstatus NOT IN ('F', 'O') THEN 'Invalid category o_orderstatus'
+       WHEN o_orderpriority IS NOT NULL AND o_orderpriority NOT IN ('1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW') THEN 'Invalid category o_orderpriority' END AS reason
+  FROM orders)
+SELECT f.row_id, f.reason IS NOT NULL AS is_flagged, coalesce(f.reason, '---') AS reason,
+  p.poison_phase IS NOT NULL AS is_actual_poisoned,
+  CASE WHEN f.reason IS NOT NULL AND p.poison_phase IS NOT NULL THEN 'tp' WHEN f.reason IS NOT NULL THEN 'fp'
+       WHEN p.poison_phase IS NOT NULL THEN 'fn' ELSE 'clean' END AS status
+FROM f JOIN phases p ON f.row_id = p.row_id""")
+def q_row_status(spark, sf):
+    from rowaudit.operators.poison import pick_poison_rows
+    o = orders(spark, sf)
+    d, _ = pick_poison_rows(o, 0.05, 42)
+    truth = d.where(F.col("poison_phase").isNotNull()).select("row_id")
+    flags = ru.table_flags(o, ORDER_RULES)
+    return fl.row_status(o.select("row_id"), flags, truth)
+
+
+DETECT_RULES = [ru.ColumnRule("o_totalprice", ru.NUMERICAL, min_val=0.0, max_val=600000.0),
+                ru.ColumnRule("o_orderstatus", ru.CATEGORICAL, valid_categories=["F", "O", "P"])]
+DETECTED_SQL = f"""{ORDERS_POISON_SQL}, sh AS ({_shuffle_sql('poisoned')}),
+pred AS (SELECT new_id AS row_id, CAST(poison_phase IS NOT NULL AS INTEGER) AS is_actual_poisoned,
+   CAST(is_type_error OR o_totalprice < 0.0 OR o_totalprice > 600000.0 OR o_orderstatus NOT IN ('F','O','P') AS INTEGER) AS is_predicted_poisoned
+ FROM sh)"""
+
+
+def _orders_detected(spark, sf):
+    d = _orders_poisoned(spark, sf, True)
+    checked = ru.check_table(d, DETECT_RULES, "p1")
+    return checked.select("row_id", "is_actual_poisoned",
+                          F.col("p1").isNotNull().cast("int").alias("is_predicted_poisoned"))
+
+
+@register("detection_metrics", f"""WITH {DETECTED_SQL},
+c AS (SELECT CAST(count(*) AS BIGINT) AS total, CAST(sum(is_actual_poisoned) AS BIGINT) AS poisoned_true,
+  CAST(sum(is_predicted_poisoned) AS BIGINT) AS poisoned_pred,
+  CAST(count(*) FILTER (WHERE is_actual_poisoned = 1 AND is_predicted_poisoned = 1) AS BIGINT) AS tp,
+  CAST(count(*) FILTER (WHERE is_actual_poisoned = 0 AND is_predicted_poisoned = 0) AS BIGINT) AS tn,
+  CAST(count(*) FILTER (WHERE is_actual_poisoned = 0 AND is_predicted_poisoned = 1) AS BIGINT) AS fp,
+  CAST(count(*) FILTER (WHERE is_actual_poisoned = 1 AND is_predicted_poisoned = 0) AS BIGINT) AS fn FROM pred),
+r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS rc FROM c)
+SELECT total, poisoned_true, poisoned_pred, round(coalesce((tp + tn) / nullif(total, 0), 0.0), 4) AS accuracy,
+  round(p, 4) AS precision, round(rc, 4) AS recall, round(coalesce(2 * p * rc / nullif(p + rc, 0.0), 0.0), 4) AS f1,
+  tp, tn, fp, fn FROM r""")
+def q_detection_metrics(spark, sf):
+    return fl.detection_metrics(_orders_detected(spark, sf))
+
+
+@register("actual_top50", f"WITH {DETECTED_SQL} SELECT row_id FROM pred WHERE is_actual_poisoned = 1 ORDER BY row_id LIMIT 50")
+def q_actual_top50(spark, sf):
+    return fl.first_rows(_orders_detected(spark, sf), F.col("is_actual_poisoned") == 1, 50).select("row_id")
+
+
+@register("predicted_top50", f"WITH {DETECTED_SQL} SELECT row_id FROM pred WHERE is_predicted_poisoned = 1 ORDER BY row_id LIMIT 50")
+def q_predicted_top50(spark, sf):
+    return fl.first_rows(_orders_detected(spark, sf), F.col("is_predicted_poisoned") == 1, 50).select("row_id")
+
+
+@register("true_positive_top50", f"WITH {DETECTED_SQL} SELECT row_id FROM pred WHERE is_actual_poisoned = 1 AND is_predicted_poisoned = 1 ORDER BY row_id LIMIT 50")
+def q_true_positive_top50(spark, sf):
+    d = _orders_detected(spark, sf)
+    return fl.first_rows(d, (F.col("is_actual_poisoned") == 1) & (F.col("is_predicted_poisoned") == 1), 50).select("row_id")
+
+
+# text injection over labelled documents: text, target quality
+TEXT_POISON_SQL = f"""{LABELLED_DOCS_SQL}, {_pick_sql('ld', 'doc_id')},
+labs AS (SELECT list_sort(list(DISTINCT quality)) AS labs FROM ld),
+poisoned AS (SELECT ld.doc_id AS row_id, ph.poison_phase,
+    CASE WHEN ph.poison_phase = 1 AND ph.poison_pos % 2 = 0 THEN 'short'
+         WHEN ph.poison_phase = 1 THEN 'Check http://malicious-link.xyz'
+         WHEN ph.poison_phase = 2 THEN coalesce(ld.text, 'None') || ' buy crypto now free profit!!!' ELSE ld.text END AS text,
+    CASE WHEN ph.poison_phase = 3 THEN {_flip_sql('ld.quality', 'labs')} ELSE ld.quality END AS quality
+  FROM ld JOIN phases ph ON ld.doc_id = ph.row_id, labs)"""
+
+
+def _docs_poisoned(spark, sf, shuffle: bool):
+    from rowaudit.operators.poison import poison_text
+    return poison_text(labelled_docs(spark, sf), "text", "quality", 0.05, 42, shuffle=shuffle)
+
+
+@register("inject_malformed_text", f"WITH {TEXT_POISON_SQL} SELECT row_id, text FROM poisoned WHERE poison_phase = 1")
+def q_inject_malformed_text(spark, sf):
+    return _docs_poisoned(spark, sf, False).where(F.col("poison_phase") == 1).select("row_id", "text")
+
+
+@register("inject_semantic_noise", f"WITH {TEXT_POISON_SQL} SELECT row_id, text FROM poisoned WHERE poison_phase = 2")
+def q_inject_semantic_noise(spark, sf):
+    return _docs_poisoned(spark, sf, False).where(F.col("poison_phase") == 2).select("row_id", "text")
+
+
+@register("poison_text_table", f"""WITH {TEXT_POISON_SQL}, sh AS ({_shuffle_sql('poisoned')})
+SELECT new_id AS row_id, orig_id, text, quality, CAST(poison_phase IS NOT NULL AS INTEGER) AS is_actual_poisoned FROM sh""")
+def q_poison_text_table(spark, sf):
+    return _docs_poisoned(spark, sf, True).select("row_id", "orig_id", "text", "quality", "is_actual_poisoned")
+
+
+def _uniform_sql(tag: str, key: str = "event_id") -> str:
+    return (f"((('0x' || substr(md5('42:{tag}:' || CAST({key} AS VARCHAR)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)")
+
+
+def _normal_sql(name: str) -> str:
+    return f"sqrt(-2.0 * ln({_uniform_sql(name + ':a')})) * cos(2.0 * pi() * {_uniform_sql(name + ':b')})"
+
+
+GAUSS_SQL = f"""g AS (SELECT event_id AS row_id, {_normal_sql('feature1')} AS feature1, {_normal_sql('feature2')} AS feature2,
+  {_normal_sql('feature3')} AS feature3, {_normal_sql('noise')} AS noise FROM events)"""
+
+
+def gaussian_table(spark, sf):
+    from rowaudit.operators.poison import gaussian_features, linear_target
+    g = gaussian_features(events(spark, sf).select("row_id"))
+    return linear_target(g, ["feature1", "feature2", "feature3"], [30.0, 20.0, 10.0], noise=10.0)
+
+
+@register("synth_gaussian_table", f"""WITH {GAUSS_SQL}
+SELECT row_id, round(feature1, 6) AS feature1, round(feature2, 6) AS feature2, round(feature3, 6) AS feature3,
+  round(30.0 * feature1 + 20.0 * feature2 + 10.0 * feature3 + 10.0 * noise, 6) AS target FROM g""")
+def q_synth_gaussian_table(spark, sf):
+    g = gaussian_table(spark, sf)
+    return g.select("row_id", *[F.round(c, 6).alias(c) for c in ("feature1", "feature2", "feature3", "target")])
+
+
+@register("inject_shift", f"""WITH {GAUSS_SQL},
+r AS (SELECT *, row_number() OVER (ORDER BY md5('42:shift:' || CAST(row_id AS VARCHAR)), row_id) AS rk FROM g),
+k AS (SELECT CAST(floor(0.05 * count(*)) AS BIGINT) AS k FROM g)
+SELECT row_id, round(CASE WHEN rk <= k THEN feature1 + 10.0 ELSE feature1 END, 6) AS feature1,
+  CAST(rk <= k AS INTEGER) AS is_actual_poisoned FROM r, k""")
+def q_inject_shift(spark, sf):
+    from rowaudit.operators.poison import inject_shift
+    d = inject_shift(gaussian_table(spark, sf), "feature1", 0.05, 10.0, 42)
+    return d.select("row_id", F.round("feature1", 6).alias("feature1"), "is_actual_poisoned")
