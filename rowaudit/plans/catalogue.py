@@ -981,3 +981,159 @@ def q_inject_shift(spark, sf):
     from rowaudit.operators.poison import inject_shift
     d = inject_shift(gaussian_table(spark, sf), "feature1", 0.05, 10.0, 42)
     return d.select("row_id", F.round("feature1", 6).alias("feature1"), "is_actual_poisoned")
+
+
+# ------------------------------------------------------- I: detectors with SQL forms
+def _lof_sql(within_label: bool) -> str:
+    cond = "a.label = b.label AND a.vec_id <> b.vec_id" if within_label else "a.vec_id <> b.vec_id"
+    return f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pairs AS (SELECT a.vec_id AS row_id, b.vec_id AS nbr_id, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON {cond}),
+knn AS (SELECT row_id, nbr_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist, nbr_id) AS r FROM pairs) WHERE r <= 20),
+kd AS (SELECT row_id, max(dist) AS kdist FROM knn GROUP BY row_id),
+reach AS (SELECT k.row_id, greatest(kd.kdist, k.dist) AS rd FROM knn k JOIN kd ON k.nbr_id = kd.row_id),
+lrd AS (SELECT row_id, 1.0 / (avg(rd) + 1e-10) AS lrd FROM reach GROUP BY row_id),
+nl AS (SELECT k.row_id, avg(l.lrd) AS m FROM knn k JOIN lrd l ON k.nbr_id = l.row_id GROUP BY k.row_id)
+SELECT nl.row_id, round(kd.kdist, 6) AS k_distance, round(nl.m / lrd.lrd, 6) AS lof
+FROM nl JOIN lrd ON nl.row_id = lrd.row_id JOIN kd ON nl.row_id = kd.row_id"""
+
+
+def embeddings(spark, sf):
+    return table(spark, sf, "embeddings").withColumn("row_id", F.col("vec_id"))
+
+
+@register("lof_scores", _lof_sql(False))
+def q_lof_scores(spark, sf):
+    from rowaudit.operators.lof import lof_scores
+    s = lof_scores(embeddings(spark, sf), "embedding", k=20)
+    return s.select("row_id", F.round("k_distance", 6).alias("k_distance"), F.round("lof", 6).alias("lof"))
+
+
+@register("class_outliers", _lof_sql(True))
+def q_class_outliers(spark, sf):
+    from rowaudit.operators.lof import lof_scores
+    s = lof_scores(embeddings(spark, sf), "embedding", k=20, by="label")
+    return s.select("row_id", F.round("k_distance", 6).alias("k_distance"), F.round("lof", 6).alias("lof"))
+
+
+GIVEN_SCORES_SQL = """st AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(user_id) AS mu FROM events),
+sc AS (SELECT event_id AS row_id, abs(value - mv) / sv AS iso, abs(user_id - mu) AS lof, -value AS svm FROM events, st),
+mm AS (SELECT min(iso) AS li, max(iso) AS hi, min(lof) AS ll, max(lof) AS hl, min(svm) AS ls, max(svm) AS hs FROM sc),
+ens AS (SELECT row_id, ((iso - li) / (hi - li + 1e-8) + (lof - ll) / (hl - ll + 1e-8) + (svm - ls) / (hs - ls + 1e-8)) / 3.0 AS poison_score
+        FROM sc, mm)"""
+
+
+def _given_scores(spark, sf):
+    """Three deterministic per-row scores standing in for detector outputs."""
+    e = events(spark, sf)
+    st = e.agg(F.avg("value").alias("mv"), F.stddev_pop("value").alias("sv"), F.avg("user_id").alias("mu")).first()
+    return e.select("row_id", (F.abs(F.col("value") - st["mv"]) / st["sv"]).alias("iso"),
+                    F.abs(F.col("user_id") - st["mu"]).alias("lof"), (-F.col("value")).alias("svm"))
+
+
+@register("ensemble_score", f"WITH {GIVEN_SCORES_SQL} SELECT row_id, round(poison_score, 6) AS poison_score FROM ens")
+def q_ensemble_score(spark, sf):
+    from rowaudit.operators.ensemble import combine_scores
+    return combine_scores(_given_scores(spark, sf)).select("row_id", F.round("poison_score", 6).alias("poison_score"))
+
+
+@register("top5pct_flag", f"""WITH {GIVEN_SCORES_SQL}
+SELECT row_id FROM ens WHERE poison_score >= (SELECT quantile_cont(poison_score, 0.95) FROM ens)""")
+def q_top5pct_flag(spark, sf):
+    from rowaudit.operators.ensemble import combine_scores, top_quantile_flag
+    s = top_quantile_flag(combine_scores(_given_scores(spark, sf)))
+    return s.where(F.col("is_predicted_poisoned") == 1).select("row_id")
+
+
+def _stop_sql() -> str:
+    from rowaudit.operators.text import stop_words
+    return _sql_list(stop_words())
+
+
+@register("tfidf", f"""WITH t AS (SELECT doc_id, unnest({TOKENS_SQL.format(t='text')}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term NOT IN ({_stop_sql()}) GROUP BY doc_id, term),
+st AS (SELECT term, sum(tf) AS freq, count(*) AS df FROM tf GROUP BY term),
+v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0 AS idf FROM st ORDER BY freq DESC, term LIMIT 5000),
+w AS (SELECT tf.doc_id, tf.term, tf.tf * v.idf AS w FROM tf JOIN v ON tf.term = v.term),
+n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)
+SELECT w.doc_id AS row_id, w.term, round(w.w / n.norm, 6) AS weight FROM w JOIN n ON w.doc_id = n.doc_id""")
+def q_tfidf(spark, sf):
+    from rowaudit.operators.text import tfidf
+    t = tfidf(documents(spark, sf), "text", "row_id", 5000)
+    return t.select("row_id", "term", F.round("weight", 6).alias("weight"))
+
+
+LOSS_SQL = f"""{LABELLED_DOCS_SQL},
+cs AS (SELECT source, quality, count(*) AS n FROM ld GROUP BY source, quality),
+s AS (SELECT source, count(*) AS n FROM ld GROUP BY source),
+loss AS (SELECT ld.doc_id AS row_id, -ln(least(greatest(cs.n / CAST(s.n AS DOUBLE), 1e-15), 1 - 1e-15)) AS loss
+         FROM ld JOIN cs ON ld.source = cs.source AND ld.quality = cs.quality JOIN s ON ld.source = s.source)"""
+
+
+def _given_losses(spark, sf):
+    """Per-row log loss of the label under p(label | source) estimated on the table."""
+    ld = labelled_docs(spark, sf)
+    cs = ld.groupBy("source", "quality").agg(F.count(F.lit(1)).alias("_cn"))
+    s = ld.groupBy("source").agg(F.count(F.lit(1)).alias("_sn"))
+    p = F.least(F.greatest(F.col("_cn") / F.col("_sn"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    return ld.join(cs, ["source", "quality"]).join(s, "source").select("row_id", (-F.log(p)).alias("loss"))
+
+
+@register("row_log_loss", f"WITH {LOSS_SQL} SELECT row_id, round(loss, 6) AS loss FROM loss")
+def q_row_log_loss(spark, sf):
+    return _given_losses(spark, sf).select("row_id", F.round("loss", 6).alias("loss"))
+
+
+@register("high_loss_labels", f"""WITH {LOSS_SQL}
+SELECT row_id, round(loss, 6) AS loss FROM loss WHERE loss > (SELECT quantile_cont(loss, 0.95) FROM loss)""")
+def q_high_loss_labels(spark, sf):
+    from rowaudit.operators.audit import flag_high_loss
+    f = flag_high_loss(_given_losses(spark, sf), 0.95, "p3")
+    return f.where(F.col("p3").isNotNull()).select("row_id", F.round("loss", 6).alias("loss"))
+
+
+# ------------------------------------------------------- A: sources and sinks (round trips)
+@register("read_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def q_read_csv(spark, sf):
+    from rowaudit.session import shared_dir
+    from rowaudit.sources.files import read_csv
+    c = table(spark, sf, "customer")
+    path = shared_dir(spark, "csv")
+    c.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return read_csv(spark, path, schema=c.schema)
+
+
+@register("read_json_records", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def q_read_json_records(spark, sf):
+    from rowaudit.session import shared_dir
+    from rowaudit.sources.files import read_json_records
+    n = table(spark, sf, "nation")
+    path = shared_dir(spark, "json")
+    # one JSON array document per file, as a records payload
+    arr = n.select(F.to_json(F.struct(*n.columns)).alias("j")).agg(
+        F.concat(F.lit("["), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("doc"))
+    arr.write.text(path)
+    return read_json_records(spark, path, schema=n.schema)
+
+
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+@register("read_jsonl", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def q_read_jsonl(spark, sf):
+    from rowaudit.session import shared_dir
+    e = table(spark, sf, "events")
+    path = shared_dir(spark, "jsonl")
+    e.write.option("timestampFormat", TS_FORMAT).option("timestampNTZFormat", TS_FORMAT).json(path)
+    return (spark.read.schema(e.schema).option("timestampFormat", TS_FORMAT)
+            .option("timestampNTZFormat", TS_FORMAT).json(path))
+
+
+@register("write_clean_csv", f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+FROM orders WHERE NOT {ORDER_P1_WHERE}""")
+def q_write_clean_csv(spark, sf):
+    from rowaudit.session import shared_dir
+    from rowaudit.sources.files import read_csv, write_clean_csv
+    o = orders(spark, sf)
+    path = shared_dir(spark, "clean")
+    write_clean_csv(o, ru.table_flags(o, ORDER_RULES), path)
+    return read_csv(spark, path, schema=table(spark, sf, "orders").schema)
