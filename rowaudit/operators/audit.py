@@ -245,5 +245,5 @@ def pca_2d(df: DataFrame, cols: list[str]) -> DataFrame:
     s = standard_scale(df, cols)
     v = VectorAssembler(inputCols=cols, outputCol="_v").transform(s)
     m = PCA(k=2, inputCol="_v", outputCol="_pc").fit(v)
-    a = vector_to_array(m.transform(v)["_pc"])
-    return m.transform(v).select("row_id", a[0].alias("x"), a[1].alias("y"))
+    t = m.transform(v).withColumn("_a", vector_to_array("_pc"))
+    return t.select("row_id", F.col("_a")[0].alias("x"), F.col("_a")[1].alias("y"))

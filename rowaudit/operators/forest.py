@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowaudit.functions.hashing import seeded_key
 from rowaudit.operators.flags import finding
@@ -125,7 +126,7 @@ def score(df: DataFrame, model: IsolationForestModel, name: str = "iso_score") -
     """Anomaly score s = 2^(-E[h(x)]/c(psi)) in (0, 1]; higher = more isolated."""
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast((model.arrays(), model.cols, model.psi))
-    schema = df.schema.add(name, "double")
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(name, T.DoubleType())])
 
     def run(batches):
         trees, cols, psi = bc.value

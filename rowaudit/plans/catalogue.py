@@ -1137,3 +1137,149 @@ def q_write_clean_csv(spark, sf):
     path = shared_dir(spark, "clean")
     write_clean_csv(o, ru.table_flags(o, ORDER_RULES), path)
     return read_csv(spark, path, schema=table(spark, sf, "orders").schema)
+
+
+# ------------------------------------------------------- random / iterative operators (rows checks)
+EVENT_NUM = ["value", "user_id"]
+
+
+@register("iforest_outliers")
+def q_iforest_outliers(spark, sf):
+    from rowaudit.operators import forest
+    e = events(spark, sf).select("row_id", *[F.col(c).cast("double").alias(c) for c in EVENT_NUM])
+    o = forest.outliers(e, EVENT_NUM, keep_score=True)
+    return o.where(F.col("p2iso").isNotNull()).select("row_id", "iso_score")
+
+
+@register("save_load_detectors")
+def q_save_load_detectors(spark, sf):
+    from rowaudit.operators import forest, svm
+    from rowaudit.operators.clean import standard_scale
+    from rowaudit.session import shared_dir
+    e = standard_scale(events(spark, sf).select("row_id", *[F.col(c).cast("double").alias(c) for c in EVENT_NUM]), EVENT_NUM)
+    path = shared_dir(spark, "models")
+    forest.fit(e, EVENT_NUM).save(spark, f"{path}/forest")
+    svm.fit(e, EVENT_NUM, iterations=20).save(spark, f"{path}/svm")
+    f2 = forest.IsolationForestModel.load(spark, f"{path}/forest")
+    s2 = svm.OneClassModel.load(spark, f"{path}/svm")
+    return svm.score(forest.score(e, f2, "iso_score"), s2, "svm_score").select("row_id", "iso_score", "svm_score")
+
+
+@register("embed_text")
+def q_embed_text(spark, sf):
+    from rowaudit.operators.text import embed_text
+    return embed_text(documents(spark, sf).select("row_id", "text"), "text", dim=256).select("row_id", "embedding")
+
+
+@register("embedding_outliers")
+def q_embedding_outliers(spark, sf):
+    from rowaudit.operators import forest
+    from rowaudit.operators.clean import standard_scale
+    e = embeddings(spark, sf)
+    cols = [f"_d{i}" for i in range(64)]
+    x = standard_scale(e.select("row_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)]), cols)
+    o = forest.outliers(x, cols, 0.03, reason="Semantic outlier", name="p2", keep_score=True)
+    return o.where(F.col("p2").isNotNull()).select("row_id", "iso_score")
+
+
+@register("ocsvm_scores")
+def q_ocsvm_scores(spark, sf):
+    from rowaudit.operators import svm
+    from rowaudit.operators.clean import standard_scale
+    e = standard_scale(events(spark, sf).select("row_id", *[F.col(c).cast("double").alias(c) for c in EVENT_NUM]), EVENT_NUM)
+    return svm.score(e, svm.fit(e, EVENT_NUM, nu=0.05), "svm_score").select("row_id", "svm_score")
+
+
+ORDER_AUDIT_FEATURES = ["o_totalprice", "o_orderpriority"]
+ORDER_AUDIT_TYPES = {"o_totalprice": ru.NUMERICAL, "o_orderpriority": ru.CATEGORICAL}
+
+
+@register("canary_tabular")
+def q_canary_tabular(spark, sf):
+    from rowaudit.operators.audit import audit_table
+    p3 = audit_table(orders(spark, sf), ORDER_AUDIT_FEATURES, ORDER_AUDIT_TYPES, "o_orderstatus")
+    return p3.select("row_id", "label_idx", "p_true", "loss", F.col("p3").isNotNull().alias("suspicious"))
+
+
+@register("canary_text")
+def q_canary_text(spark, sf):
+    from rowaudit.operators.audit import audit_text
+    p3 = audit_text(labelled_docs(spark, sf), "text", "quality")
+    return p3.select("row_id", "label_idx", "p_true", "loss", F.col("p3").isNotNull().alias("suspicious"))
+
+
+@register("model_disagreement")
+def q_model_disagreement(spark, sf):
+    from rowaudit.operators.audit import model_disagreement
+    d = model_disagreement(orders(spark, sf), ORDER_AUDIT_FEATURES, ORDER_AUDIT_TYPES, "o_orderstatus")
+    return d.where(F.col("p3dis").isNotNull()).select("row_id", "pred_lr", "pred_rf", "pred_nb")
+
+
+@register("canary_gbt")
+def q_canary_gbt(spark, sf):
+    from rowaudit.operators.audit import gbt_probabilities
+    ld = labelled_docs(spark, sf).withColumn("n_chars", F.length("text").cast("double"))
+    g = gbt_probabilities(ld, ["n_chars", "source"], {"n_chars": ru.NUMERICAL, "source": ru.CATEGORICAL}, "quality")
+    return g.select("row_id", "p_true", "loss")
+
+
+@register("top_loss_rows")
+def q_top_loss_rows(spark, sf):
+    from rowaudit.operators.audit import (_lr, index_labels, out_of_fold, tabular_matrix, top_loss_rows,
+                                          with_loss)
+    from rowaudit.operators.rows import stratified_folds
+    d, labels = index_labels(orders(spark, sf), "o_orderstatus")
+    d, _ = tabular_matrix(d, ORDER_AUDIT_FEATURES, ORDER_AUDIT_TYPES)
+    d = stratified_folds(d, "o_orderstatus", 5)
+    scored = with_loss(out_of_fold(d, 5, lambda tr: _lr(tr, True), weighted=True))
+    return top_loss_rows(scored, labels, 20)
+
+
+@register("pca_2d")
+def q_pca_2d(spark, sf):
+    from rowaudit.operators.audit import pca_2d
+    e = embeddings(spark, sf)
+    cols = [f"_d{i}" for i in range(64)]
+    x = e.select("row_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    return pca_2d(x, cols)
+
+
+# ------------------------------------------------------- K: end-to-end jobs
+@register("sanitize_table")
+def q_sanitize_table(spark, sf):
+    from rowaudit.plans.jobs import sanitize_table
+    rules = EVENT_RULES
+    return sanitize_table(events(spark, sf), rules, "classification", "event_type")
+
+
+@register("sanitize_text")
+def q_sanitize_text(spark, sf):
+    from rowaudit.plans.jobs import sanitize_text
+    return sanitize_text(labelled_docs(spark, sf), "text", "quality")
+
+
+@register("ensemble_detect_table")
+def q_ensemble_detect_table(spark, sf):
+    from rowaudit.operators.poison import inject_shift
+    from rowaudit.plans.jobs import ensemble_detect_table
+    g = inject_shift(gaussian_table(spark, sf).drop("target"), "feature1", 0.05, 10.0, 42)
+    _, metrics = ensemble_detect_table(g, ["feature1", "feature2", "feature3"])
+    return metrics
+
+
+@register("ensemble_detect_text")
+def q_ensemble_detect_text(spark, sf):
+    from rowaudit.operators.poison import inject_suffix
+    from rowaudit.plans.jobs import ensemble_detect_text
+    d = inject_suffix(documents(spark, sf).select("row_id", "text"), "text", 0.05)
+    _, metrics = ensemble_detect_text(d, "text")
+    return metrics
+
+
+@register("evaluate_injected")
+def q_evaluate_injected(spark, sf):
+    from rowaudit.plans.jobs import evaluate_injected
+    d = _orders_poisoned(spark, sf, True)
+    rules = [ru.ColumnRule("o_totalprice", ru.NUMERICAL, min_val=0.0, max_val=600000.0),
+             ru.ColumnRule("o_orderpriority", ru.CATEGORICAL)]
+    return evaluate_injected(d, rules, "classification", "o_orderstatus")

@@ -66,8 +66,12 @@ if __name__ == "__main__":
     for k in keys:
         sql = E.oracle_sql().get(k)
         if sql is None:
-            n = E.queries()[k](spark, sf).count()
-            print(f"[rows] {k}: {n} rows")
+            try:
+                n = E.queries()[k](spark, sf).count()
+                print(f"[rows] {k}: {n} rows", flush=True)
+            except Exception as e:
+                bad += 1
+                print(f"[FAIL] {k}: error: {type(e).__name__}: {str(e)[:300]}", flush=True)
             continue
         try:
             ok, msg = compare(spark, k, sf, E.queries()[k], sql)
