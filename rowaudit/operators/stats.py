@@ -17,31 +17,25 @@ from pyspark.sql import functions as F
 EXACT_LIMIT = 5_000_000
 
 
-def _order_stats(df: DataFrame, col: str, ranks: list[int], n: int,
-                 exact_limit: int) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of the ascending non-null values of ``col``."""
+def _bracket(df: DataFrame, col: str, lo_r: int, hi_r: int, n: int, exact_limit: int) -> dict[int, float]:
+    """Order statistics lo_r..hi_r (0-based, a few adjacent ranks) without
+    sorting the column: bracket them with percentile_approx, then take the
+    exact values from the (bounded) slice inside the bracket."""
     x = F.col(col)
-    if n <= exact_limit:
-        fracs = [r / (n - 1) if n > 1 else 0.0 for r in ranks]
-        # percentile at r/(n-1) lands exactly on order statistic r
-        row = df.agg(F.percentile(x, F.array(*[F.lit(f) for f in fracs])).alias("p")).first()
-        return {r: v for r, v in zip(ranks, row["p"])}
-    lo_r, hi_r = min(ranks), max(ranks)
-    eps = 1.0 / 2000
-    qs = [max(0.0, lo_r / n - eps), min(1.0, hi_r / n + eps)]
-    acc = 20000
+    acc = int(min(2 ** 31 - 1, max(10_000, 8 * n // max(exact_limit, 1))))
+    margin = max(2, 2 * n // acc)
     while True:
-        a, b = df.agg(F.percentile_approx(x, F.array(*[F.lit(q) for q in qs]), acc).alias("p")).first()["p"]
-        stats = df.agg(F.sum(F.when(x < a, 1).otherwise(0)).alias("below"),
-                       F.sum(F.when((x >= a) & (x <= b), 1).otherwise(0)).alias("inside")).first()
-        below, inside = int(stats["below"] or 0), int(stats["inside"] or 0)
-        if below <= lo_r and below + inside > hi_r and inside <= exact_limit:
+        qa = max(0.0, (lo_r - margin) / n)
+        qb = min(1.0, (hi_r + 1 + margin) / n)
+        a, b = df.agg(F.percentile_approx(x, F.array(F.lit(qa), F.lit(qb)), acc).alias("p")).first()["p"]
+        st = df.agg(F.sum(F.when(x < a, 1).otherwise(0)).alias("below"),
+                    F.sum(F.when((x >= a) & (x <= b), 1).otherwise(0)).alias("inside")).first()
+        below, inside = int(st["below"] or 0), int(st["inside"] or 0)
+        if below <= lo_r and below + inside > hi_r:
             break
-        qs = [max(0.0, qs[0] - eps), min(1.0, qs[1] + eps)]
-        acc *= 2
-        if qs == [0.0, 1.0]:
-            raise RuntimeError("quantile bracket did not shrink below the exact limit")
+        margin *= 2
     sl = df.where((x >= a) & (x <= b)).select(x.alias("v"))
+    ranks = list(range(lo_r, hi_r + 1))
     fracs = [(r - below) / (inside - 1) if inside > 1 else 0.0 for r in ranks]
     row = sl.agg(F.percentile("v", F.array(*[F.lit(f) for f in fracs])).alias("p")).first()
     return {r: v for r, v in zip(ranks, row["p"])}
@@ -57,8 +51,10 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float],
     if n <= exact_limit:
         row = x.agg(F.percentile(col, F.array(*[F.lit(float(q)) for q in qs])).alias("p")).first()
         return list(row["p"])
-    ranks = sorted({r for q in qs for r in (math.floor(q * (n - 1)), min(n - 1, math.floor(q * (n - 1)) + 1))})
-    vals = _order_stats(x, col, ranks, n, exact_limit)
+    vals: dict[int, float] = {}
+    for q in qs:
+        lo = math.floor(q * (n - 1))
+        vals.update(_bracket(x, col, lo, min(n - 1, lo + 1), n, exact_limit))
     out = []
     for q in qs:
         pos = q * (n - 1)
