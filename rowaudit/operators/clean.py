@@ -62,10 +62,12 @@ def ffill_bfill(df: DataFrame, col: str, order: str = "row_id", bucket_rows: int
     if parse and isinstance(df.schema[col].dataType, T.StringType):
         v = F.try_to_timestamp(v)
     d = df.withColumn("_v", v).withColumn("_b", F.floor(F.col(order) / bucket_rows))
-    fwd = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    bwd = Window.partitionBy("_b").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    # both fills are running frames (O(n) per bucket); the backward fill runs
+    # over the reversed order instead of a shrinking 'to unbounded following' frame
+    fwd = Window.partitionBy("_b").orderBy(F.col(order).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    bwd = Window.partitionBy("_b").orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_ff", F.last("_v", ignorenulls=True).over(fwd)) \
-         .withColumn("_bf", F.first("_v", ignorenulls=True).over(bwd))
+         .withColumn("_bf", F.last("_v", ignorenulls=True).over(bwd))
     per = d.groupBy("_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_last"),
                               F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_first"))
     # one row per bucket: a bounded table, ordered without a partition

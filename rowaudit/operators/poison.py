@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from rowaudit.functions.hashing import seeded_key, unit_uniform
 from rowaudit.functions.numeric import strict_double
 from rowaudit.operators.rows import global_rank
+from rowaudit.session import cut_lineage
 
 # Fixed values used by the injectors.
 TYPE_ERROR = "TYPE_ERROR"
@@ -41,11 +42,13 @@ def pick_poison_rows(df: DataFrame, p: float = 0.05, seed: int = 42, phases: int
     n = df.count() if n is None else n
     m = phase_size(n, p)
     keyed = df.withColumn("_pk", seeded_key(seed, F.lit("pick"), "row_id"))
-    ranked = global_rank(keyed, "_pk", name="_pr")
+    ranked = global_rank(keyed, "_pk", name="_pr", n=n)
     lim = m * phases
     ph = F.when(F.col("_pr") <= lim, F.ceil(F.col("_pr") / F.lit(max(m, 1)))).cast("int")
     pos = F.when(F.col("_pr") <= lim, (F.col("_pr") - 1) % F.lit(max(m, 1))).cast("long")
-    return ranked.withColumn("poison_phase", ph).withColumn("poison_pos", pos).drop("_pk", "_pr"), m
+    out = ranked.withColumn("poison_phase", ph).withColumn("poison_pos", pos).drop("_pk", "_pr")
+    # the injectors run several aggregates over this table: compute the ranks once
+    return cut_lineage(out), m
 
 
 def numeric_features(df: DataFrame, features: list[str], target: str | None, exclude_target: bool) -> list[str]:
@@ -141,7 +144,7 @@ def inject_shift(df: DataFrame, col: str, p: float = 0.05, shift: float = 10.0,
     n = df.count()
     k = int(math.floor(p * n))
     keyed = df.withColumn("_pk", seeded_key(seed, F.lit("shift"), "row_id"))
-    r = global_rank(keyed, "_pk", name="_pr")
+    r = global_rank(keyed, "_pk", name="_pr", n=n)
     hit = F.col("_pr") <= k
     return r.withColumn(col, F.when(hit, F.col(col) + F.lit(shift)).otherwise(F.col(col))) \
         .withColumn("is_actual_poisoned", hit.cast("int")).drop("_pk", "_pr")
@@ -153,7 +156,7 @@ def inject_suffix(df: DataFrame, text: str, p: float = 0.05, suffix: str = ENSEM
     n = df.count()
     k = int(math.floor(p * n))
     keyed = df.withColumn("_pk", seeded_key(seed, F.lit("spam"), "row_id"))
-    r = global_rank(keyed, "_pk", name="_pr")
+    r = global_rank(keyed, "_pk", name="_pr", n=n)
     hit = F.col("_pr") <= k
     return r.withColumn(text, F.when(hit, F.concat(F.col(text), F.lit(suffix))).otherwise(F.col(text))) \
         .withColumn("is_actual_poisoned", hit.cast("int")).drop("_pk", "_pr")

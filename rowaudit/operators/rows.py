@@ -48,15 +48,16 @@ def with_row_id(df: DataFrame, key: str | None = None, name: str = "row_id",
     return out.withColumn(name, (F.col("_off") + local).cast("long")).drop("_pid", "_mid", "_off")
 
 
-def _max_group_rows(df: DataFrame, by: list[str]) -> int:
+def _group_sizes(df: DataFrame, by: list[str]) -> tuple[int, int]:
+    """(rows in the largest group, number of groups) in one job."""
     if not by:
-        return df.count()
-    r = df.groupBy(*by).count().agg(F.max("count")).first()[0]
-    return int(r or 0)
+        return df.count(), 1
+    r = df.groupBy(*by).count().agg(F.max("count"), F.count(F.lit(1))).first()
+    return int(r[0] or 0), int(r[1] or 0)
 
 
 def global_rank(df: DataFrame, key: str, by: list[str] | None = None,
-                tie: str = "row_id", name: str = "rank") -> DataFrame:
+                tie: str = "row_id", name: str = "rank", n: int | None = None) -> DataFrame:
     """1-based rank of each row by the hex string ``key`` (then ``tie``),
     numbered across the whole table or within each ``by`` group.
 
@@ -65,16 +66,20 @@ def global_rank(df: DataFrame, key: str, by: list[str] | None = None,
     table) is never sorted by a single task.
     """
     by = list(by or [])
-    n_max = _max_group_rows(df, by)
-    digits = max(1, math.ceil(math.log(max(n_max, 1) / TARGET_BUCKET_ROWS, 16))) if n_max > TARGET_BUCKET_ROWS else 1
+    n_max, n_groups = (n, 1) if (n is not None and not by) else _group_sizes(df, by)
+    if n_max <= TARGET_BUCKET_ROWS:
+        # every group fits one task's sort budget: a plain window is the same bound
+        w = Window.partitionBy(*by).orderBy(F.col(key), F.col(tie)) if by else Window.orderBy(F.col(key), F.col(tie))
+        return df.withColumn(name, F.row_number().over(w).cast("long"))
+    digits = max(1, math.ceil(math.log(n_max / TARGET_BUCKET_ROWS, 16)))
     b = F.substring(F.col(key), 1, digits)
     staged = df.withColumn("_bucket", b)
     counts = staged.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1) if by else \
         Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    n_off = offsets.count()
-    offsets = F.broadcast(offsets) if n_off <= BROADCAST_ROWS else offsets
+    # the offset table has at most groups * 16^digits rows: broadcast only under that proven bound
+    offsets = F.broadcast(offsets) if n_groups * 16 ** digits <= BROADCAST_ROWS else offsets
     joined = staged.join(offsets, [*by, "_bucket"])
     within = Window.partitionBy(*by, "_bucket").orderBy(F.col(key), F.col(tie))
     return joined.withColumn(name, (F.col("_off") + F.row_number().over(within)).cast("long")).drop("_bucket", "_off")
