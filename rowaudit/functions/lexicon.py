@@ -54,8 +54,11 @@ def lexicon_mean(text: Column, rows=None, which: str = "subjectivity") -> Column
     rows = rows or DEFAULT_LEXICON
     m = _map_literal(rows, 1 if which == "polarity" else 2)
     found = F.filter(F.transform(tokens(text), lambda t: F.element_at(m, t)), lambda v: v.isNotNull())
-    total = F.aggregate(found, F.lit(0.0), lambda acc, v: acc + v)
-    return F.when(F.size(found) > 0, total / F.size(found)).otherwise(F.lit(0.0))
+    # one pass over the token scores: (sum, count) -> mean, 0 when no word is known
+    acc0 = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    agg = F.aggregate(found, acc0, lambda a, v: F.struct((a["s"] + v).alias("s"), (a["n"] + 1).alias("n")),
+                      lambda a: F.when(a["n"] > 0, a["s"] / a["n"]).otherwise(F.lit(0.0)))
+    return agg
 
 
 def lexicon_rows(lexicon: DataFrame | None):

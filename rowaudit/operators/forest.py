@@ -1,8 +1,8 @@
 """Isolation Forest (Liu, Ting & Zhou, 2008) on Spark.
 
 Training cost does not grow with the table: each tree sees ``psi`` rows
-(<= 256) drawn by seeded hash from a bounded pool, and the trees are grown in
-parallel with one ``applyInPandas`` group per tree.  The node table
+(<= 256) drawn from a bounded, hash-selected pool, and the trees are grown in
+parallel, one task per group of trees.  The node table
 (<= trees * (2*psi - 1) rows) is broadcast and every row is scored in a
 map-only ``mapInPandas`` pass over Arrow batches.
 """
@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,29 +96,37 @@ class IsolationForestModel:
 
 def fit(df: DataFrame, cols: list[str], n_trees: int = 200, max_samples: int = 256,
         seed: int = 42, n: int | None = None) -> IsolationForestModel:
-    """Grow ``n_trees`` isolation trees on seeded-hash subsamples of ``df``."""
+    """Grow ``n_trees`` isolation trees on seeded subsamples of ``df``.
+
+    The training pool is the ``min(n, n_trees * psi)`` rows with the smallest
+    md5(seed:row_id) -- a bounded top-n, independent of the table size.  It
+    is broadcast once; one task per tree draws its ``psi`` rows from it with
+    a per-tree NumPy generator and grows the tree.
+    """
     n = df.count() if n is None else n
     psi = int(min(max_samples, n))
     limit = int(math.ceil(math.log2(max(psi, 2))))
     pool_size = int(min(n, n_trees * psi))
     base = df.select("row_id", *[F.col(c).cast("double").alias(c) for c in cols])
-    # bounded top-n by seeded hash: the training pool (at most trees * psi rows)
-    pool = base.withColumn("_k", seeded_key(seed, "row_id")).orderBy("_k", "row_id").limit(pool_size).drop("_k")
-    per_tree = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    per_tree = per_tree.withColumn("_k", seeded_key(seed, "tree", "row_id"))
-    w = Window.partitionBy("tree").orderBy("_k", "row_id")
-    sample = per_tree.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_k", "_r")
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id")
-        tree = int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng([seed, tree])
-        X = pdf[cols].to_numpy(float)
-        f, t, lft, rgt, s, d = _grow_tree(X, rng, limit)
-        return pd.DataFrame({"tree": tree, "node": np.arange(len(f), dtype=np.int32), "feature": f,
-                             "threshold": t, "left": lft, "right": rgt, "size": s, "depth": d})
-
-    nodes = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
+    pool = (base.withColumn("_k", seeded_key(seed, "row_id")).orderBy("_k", "row_id").limit(pool_size)
+            .drop("_k").toPandas().sort_values("row_id"))
+    X_pool = pool[cols].to_numpy(float)
+    spark = df.sparkSession
+    bc = spark.sparkContext.broadcast(X_pool)
+
+    def grow(batches):
+        X_all = bc.value
+        for pdf in batches:
+            for tree in pdf["id"].tolist():
+                rng = np.random.default_rng([seed, int(tree)])
+                take = rng.choice(len(X_all), size=psi, replace=False) if psi < len(X_all) else np.arange(len(X_all))
+                f, t, lft, rgt, sz, d = _grow_tree(X_all[np.sort(take)], rng, limit)
+                yield pd.DataFrame({"tree": int(tree), "node": np.arange(len(f), dtype=np.int32), "feature": f,
+                                    "threshold": t, "left": lft, "right": rgt, "size": sz, "depth": d})
+
+    trees = spark.range(0, n_trees, 1, numPartitions=min(n_trees, max(1, spark.sparkContext.defaultParallelism)))
+    nodes = trees.mapInPandas(grow, NODE_SCHEMA).toPandas()
+    bc.unpersist()
     return IsolationForestModel(nodes, cols, psi)
 
 

@@ -128,11 +128,16 @@ def check_text(df: DataFrame, text_col: str, rules: TextRules | None = None,
                lexicon: DataFrame | None = None, name: str = "p1") -> DataFrame:
     rules = rules or TextRules()
     rows = lexicon_rows(lexicon) if rules.flag_gibberish else []
-    if rows is None:  # large lexicon: joined, then referenced as a column
+    if not rules.flag_gibberish:
+        return df.withColumn(name, text_violation(df, text_col, rules, rows))
+    # the subjectivity is computed once per row (small lexicon: inline map,
+    # large lexicon: token join) and referenced by the check and its score
+    if rows is None:
         df = lexicon_scores(df, text_col, lexicon, "subjectivity", "_subjectivity")
-        out = df.withColumn(name, text_violation(df, text_col, rules, None))
-        return out.drop("_subjectivity")
-    return df.withColumn(name, text_violation(df, text_col, rules, rows))
+    else:
+        df = df.withColumn("_subjectivity", lexicon_mean(F.col(text_col), rows))
+    out = df.withColumn(name, text_violation(df, text_col, rules, None))
+    return out.drop("_subjectivity")
 
 
 def text_flags(df: DataFrame, text_col: str, rules: TextRules | None = None,

@@ -54,11 +54,16 @@ def trigram_perplexity(df: DataFrame, text_col: str, id_col: str = "row_id", nam
     model fitted on the whole column: P(c|ab) = (n(abc)+1)/(n(ab.)+V), V =
     distinct third characters.  exp(-mean ln P) over the document's trigrams."""
     g = df.select(F.col(id_col).alias("_id"), F.explode(trigrams(F.col(text_col))).alias("_tri"))
-    counts = g.groupBy("_tri").agg(F.count(F.lit(1)).alias("_c")).withColumn("_ctx", F.substring("_tri", 1, 2))
+    # (document, trigram) counts first: repeated trigrams join the model once
+    dt = g.groupBy("_id", "_tri").agg(F.count(F.lit(1)).alias("_m"))
+    from rowaudit.session import cut_lineage
+    dt = cut_lineage(dt)
+    counts = dt.groupBy("_tri").agg(F.sum("_m").alias("_c")).withColumn("_ctx", F.substring("_tri", 1, 2))
     ctx = counts.groupBy("_ctx").agg(F.sum("_c").alias("_cc"))
     v = counts.select(F.substring("_tri", 3, 1).alias("ch")).distinct().count()
     model = counts.join(ctx, "_ctx").select("_tri", F.log((F.col("_c") + 1.0) / (F.col("_cc") + F.lit(float(v)))).alias("_lp"))
-    per = g.join(model, "_tri").groupBy("_id").agg(F.exp(-F.avg("_lp")).alias(name))
+    per = dt.join(model, "_tri").groupBy("_id").agg(
+        F.exp(-F.sum(F.col("_m") * F.col("_lp")) / F.sum("_m")).alias(name))
     return df.join(per.withColumnRenamed("_id", id_col), id_col, "left")
 
 

@@ -1159,7 +1159,7 @@ def q_save_load_detectors(spark, sf):
     e = standard_scale(events(spark, sf).select("row_id", *[F.col(c).cast("double").alias(c) for c in EVENT_NUM]), EVENT_NUM)
     path = shared_dir(spark, "models")
     forest.fit(e, EVENT_NUM).save(spark, f"{path}/forest")
-    svm.fit(e, EVENT_NUM, iterations=20).save(spark, f"{path}/svm")
+    svm.fit(e, EVENT_NUM).save(spark, f"{path}/svm")
     f2 = forest.IsolationForestModel.load(spark, f"{path}/forest")
     s2 = svm.OneClassModel.load(spark, f"{path}/svm")
     return svm.score(forest.score(e, f2, "iso_score"), s2, "svm_score").select("row_id", "iso_score", "svm_score")

@@ -57,7 +57,7 @@ def test_lof_highlights_isolated_point(spark):
 
 def test_one_class_svm_scores_shifted_rows_higher(spark):
     g = _gauss(spark, 1500)
-    s = svm.score(g, svm.fit(g, COLS, iterations=40), "s").toPandas()
+    s = svm.score(g, svm.fit(g, COLS), "s").toPandas()
     assert s[s.is_actual_poisoned == 1]["s"].mean() > s[s.is_actual_poisoned == 0]["s"].mean()
 
 
