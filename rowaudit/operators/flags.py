@@ -115,18 +115,17 @@ def phase_counts(flags: DataFrame) -> DataFrame:
 
 def findings_report(flags: DataFrame, df: DataFrame) -> DataFrame:
     """(phase, reason, n_flagged, pct_of_rows) with the total row count broadcast."""
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    total = df.count()
     g = flags.groupBy("phase", "reason").agg(F.count(F.lit(1)).alias("n_flagged"))
-    return g.crossJoin(F.broadcast(total)).select(
-        "phase", "reason", "n_flagged",
-        F.round(F.col("n_flagged") * 100.0 / F.col("_total"), 6).alias("pct_of_rows"))
+    return g.select("phase", "reason", "n_flagged",
+                    F.round(F.col("n_flagged") * 100.0 / F.lit(max(total, 1)), 6).alias("pct_of_rows"))
 
 
 def basic_metrics(df: DataFrame, flags: DataFrame) -> DataFrame:
-    total = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    flagged = flags.select("row_id").distinct().join(df.select("row_id"), "row_id", "left_semi") \
-        .agg(F.count(F.lit(1)).alias("flagged_rows"))
-    return total.crossJoin(flagged)
+    # one pass: every row with a 0/1 "is flagged" mark from a left join
+    marked = df.select("row_id").join(flags.select("row_id").distinct().withColumn("_f", F.lit(1)), "row_id", "left")
+    return marked.agg(F.count(F.lit(1)).alias("total_rows"),
+                      F.count("_f").alias("flagged_rows"))
 
 
 def detection_metrics(df: DataFrame, truth_col: str = "is_actual_poisoned",

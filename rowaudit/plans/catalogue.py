@@ -1108,10 +1108,10 @@ def q_read_json_records(spark, sf):
     from rowaudit.sources.files import read_json_records
     n = table(spark, sf, "nation")
     path = shared_dir(spark, "json")
-    # one JSON array document per file, as a records payload
-    arr = n.select(F.to_json(F.struct(*n.columns)).alias("j")).agg(
+    # a records payload: one JSON array document per input partition (bounded by the split size)
+    arr = n.select(F.spark_partition_id().alias("_p"), F.to_json(F.struct(*n.columns)).alias("j")).groupBy("_p").agg(
         F.concat(F.lit("["), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("doc"))
-    arr.write.text(path)
+    arr.select("doc").write.text(path)
     return read_json_records(spark, path, schema=n.schema)
 
 
