@@ -78,3 +78,17 @@ def test_label_audit_flags_flipped_labels(spark):
     out = audit_table(clean, ["feature1"], {"feature1": "Numerical"}, "y").toPandas()
     flipped = out.merge(p.select("row_id", "poison_phase").toPandas(), on="row_id")
     assert flipped[flipped.poison_phase == 3]["loss"].mean() > flipped[flipped.poison_phase.isna()]["loss"].mean()
+
+
+def test_grid_knn_matches_brute_force(spark):
+    rng = np.random.default_rng(3)
+    X = np.vstack([rng.normal(size=(1500, 3)), rng.normal(size=(400, 3)) * 0.1 + 3.0, rng.uniform(-8, 8, size=(100, 3))])
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "row_id long, v array<double>")
+    got = lof.knn(df, "v", k=7, block_rows=300, cell_rows=50).toPandas()
+    assert len(got) == len(X) * 7
+    d = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    for i in list(range(0, len(X), 97)) + [1950, 1999]:
+        want = np.sort(d[i])[:7]
+        have = np.sort(got[got.row_id == i].dist.to_numpy())
+        assert np.allclose(have, want, rtol=0, atol=1e-12)
