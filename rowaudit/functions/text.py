@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Patterns used by the text checks.
 URL_PATTERN = r"https?://"
 HTML_TAG_PATTERN = r"<[a-zA-Z/!][^>]*>"
-TOKEN_PATTERN = r"(?U)\b\w\w+\b"
+TOKEN_PATTERN = r"(?U)\w{2,}"  # maximal runs of 2+ word characters
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 IPV4_PATTERN = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
 PHONE_PATTERN = r"\+?[0-9][0-9 ().-]{8,}[0-9]"
