@@ -33,9 +33,12 @@ def finding(seq, column, reason, score=None) -> Column:
 
 def flags_from(df: DataFrame, finding_col: str, phase: int) -> DataFrame:
     """Long flags from a struct column produced by ``finding`` (nulls skipped)."""
-    f = F.col(finding_col)
-    return df.where(f.isNotNull()).select(
-        F.col("row_id").cast("long").alias("row_id"), F.lit(phase).cast("int").alias("phase"),
+    # the finding struct is evaluated once per row: the one-element explode keeps
+    # the optimizer from pushing each field extraction into the (costly) checks
+    one = df.select(F.col("row_id").cast("long").alias("row_id"), F.explode(F.array(F.col(finding_col))).alias("_f"))
+    f = F.col("_f")
+    return one.where(f.isNotNull()).select(
+        "row_id", F.lit(phase).cast("int").alias("phase"),
         f["seq"].alias("seq"), f["column"].alias("column"), f["reason"].alias("reason"),
         f["score"].alias("score"))
 
