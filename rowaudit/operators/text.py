@@ -49,21 +49,31 @@ def trigrams(text) -> "F.Column":
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=(.{3}))"), 1)
 
 
+# trigram models up to this many entries are broadcast to score occurrences in place
+MODEL_BROADCAST_ROWS = 2_000_000
+
+
 def trigram_perplexity(df: DataFrame, text_col: str, id_col: str = "row_id", name: str = "perplexity") -> DataFrame:
     """Per-document perplexity under an add-one smoothed character trigram
     model fitted on the whole column: P(c|ab) = (n(abc)+1)/(n(ab.)+V), V =
     distinct third characters.  exp(-mean ln P) over the document's trigrams."""
     g = df.select(F.col(id_col).alias("_id"), F.explode(trigrams(F.col(text_col))).alias("_tri"))
-    # (document, trigram) counts first: repeated trigrams join the model once
-    dt = g.groupBy("_id", "_tri").agg(F.count(F.lit(1)).alias("_m"))
+    counts = g.groupBy("_tri").agg(F.count(F.lit(1)).alias("_c")).withColumn("_ctx", F.substring("_tri", 1, 2))
     from rowaudit.session import cut_lineage
-    dt = cut_lineage(dt)
-    counts = dt.groupBy("_tri").agg(F.sum("_m").alias("_c")).withColumn("_ctx", F.substring("_tri", 1, 2))
+    counts = cut_lineage(counts)
     ctx = counts.groupBy("_ctx").agg(F.sum("_c").alias("_cc"))
     v = counts.select(F.substring("_tri", 3, 1).alias("ch")).distinct().count()
     model = counts.join(ctx, "_ctx").select("_tri", F.log((F.col("_c") + 1.0) / (F.col("_cc") + F.lit(float(v)))).alias("_lp"))
-    per = dt.join(model, "_tri").groupBy("_id").agg(
-        F.exp(-F.sum(F.col("_m") * F.col("_lp")) / F.sum("_m")).alias(name))
+    n_model = counts.count()
+    if n_model <= MODEL_BROADCAST_ROWS:
+        # checked-size model: every trigram occurrence is scored in place (no shuffle of
+        # the occurrences); the per-document average is map-side combined
+        per = g.join(F.broadcast(model), "_tri").groupBy("_id").agg(F.exp(-F.avg("_lp")).alias(name))
+    else:
+        # large model: (document, trigram) counts first, so repeated trigrams join once
+        dt = g.groupBy("_id", "_tri").agg(F.count(F.lit(1)).alias("_m"))
+        per = dt.join(model, "_tri").groupBy("_id").agg(
+            F.exp(-F.sum(F.col("_m") * F.col("_lp")) / F.sum("_m")).alias(name))
     return df.join(per.withColumnRenamed("_id", id_col), id_col, "left")
 
 
