@@ -137,3 +137,14 @@ def test_latin1_fallback(spark, tmp_path):
     p.write_bytes("name,city\nJos\xe9,M\xfcnchen\n".encode("latin-1"))
     rows = read_csv(spark, str(p)).collect()
     assert rows[0]["name"] == "José" and rows[0]["city"] == "München"
+
+
+def test_perplexity_branches_agree(spark, monkeypatch):
+    import rowaudit.operators.text as T
+    df = spark.createDataFrame([(0, "abcabcabc"), (1, "the cat sat on the mat"), (2, "zzqxv"), (3, "ab")],
+                               "row_id long, t string")
+    small = {r["row_id"]: r["perplexity"] for r in T.trigram_perplexity(df, "t").collect()}
+    monkeypatch.setattr(T, "MODEL_BROADCAST_ROWS", 0)
+    large = {r["row_id"]: r["perplexity"] for r in T.trigram_perplexity(df, "t").collect()}
+    assert small[3] is None and large[3] is None
+    assert all(abs(small[k] - large[k]) < 1e-9 for k in (0, 1, 2))
