@@ -33,8 +33,8 @@ SCALE = 1 << 20
 THRESHOLD = -0.1
 #: Pseudo-count per bin; keeps rare bins of small corpora near ratio 0.
 PRIOR = 4.0
-#: Trusted ids up to this number (16 MB of longs) are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Trusted ids up to this number (about 30 MB as a hash table) are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 500_000
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 

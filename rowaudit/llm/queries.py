@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowaudit.llm import mixing, quality, secretscan, urlrules
+from rowaudit.llm import mixing, quality, secretscan, simhash, urlrules
 from rowaudit.llm.common import table
 
 QUERIES = {}
@@ -92,3 +92,10 @@ _PATTERNS = ", ".join(
 def op9(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlrules.apply_rules(pages, urlrules.HOST_RULES + urlrules.PATTERN_RULES).drop("url")
+
+
+@register("op6_simhash")
+def op6(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                        F.col("component").alias("component_id"))
