@@ -57,11 +57,11 @@ def plan_mix(docs: DataFrame, *, text: str = "text", source: str = "source", key
     A column of ``docs`` that has a result's name is replaced."""
     made = {"size", "source_size", "target", "taken"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
-    k, b, off, src, s2, b2 = fresh(docs, "_mk", "_mb", "_mo", "_ms", "_ms2", "_mb2")
+    k, b, off, src, s2, b2, tie = fresh(docs, "_mk", "_mb", "_mo", "_ms", "_ms2", "_mb2", "_mt")
     digits = max(2, math.ceil(math.log(max(docs.count(), 1) / BUCKET_ROWS, 16)))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    keyed = docs.withColumns({"size": word_count(F.col(text)), k: order, src: F.col(source)}).withColumn(
-        b, F.substring(k, 1, digits))
+    keyed = docs.withColumns({"size": word_count(F.col(text)), k: order, src: F.col(source), tie: F.xxhash64(text)})
+    keyed = keyed.withColumn(b, F.substring(k, 1, digits))
     sums = keyed.groupBy(src, b).agg(F.sum("size").alias("_n"))
     per_source = sums.groupBy(src).agg(F.sum("_n").alias("source_size"))
     targets = source_targets(per_source, src, weights, max_epochs).withColumnRenamed(src, s2)
@@ -70,14 +70,13 @@ def plan_mix(docs: DataFrame, *, text: str = "text", source: str = "source", key
     offsets = offsets.join(targets, F.col(src).eqNullSafe(F.col(s2))).drop(s2)
     offsets = offsets.withColumnRenamed(src, s2).withColumnRenamed(b, b2)
     df = keyed.join(offsets, F.col(src).eqNullSafe(F.col(s2)) & (F.col(b) == F.col(b2))).drop(s2, b2)
-    tie = [F.col(k), F.col(key), F.col("size"), F.xxhash64(F.col(text))]
-    inside = Window.partitionBy(src, b).orderBy(*tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(src, b).orderBy(k, key, "size", tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = F.col(off) + F.sum("size").over(inside) - F.col("size")
     budget = F.floor(F.col("target") + F.lit(1e-6))
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.least(F.greatest(rest - ahead, F.lit(0)), F.col("size"))
-    return df.withColumn("taken", taken.cast("long")).drop(k, b, off, src)
+    return df.withColumn("taken", taken.cast("long")).drop(k, b, off, src, tie)
 
 
 def write_mix(planned: DataFrame, *, text: str = "text") -> DataFrame:
