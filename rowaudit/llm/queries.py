@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowaudit.llm import kdshard, mixing, quality, secretscan, simhash, urlrules
+from rowaudit.llm import decontam, kdshard, mixing, quality, secretscan, simhash, urlrules
 from rowaudit.llm.common import table
 
 QUERIES = {}
@@ -107,3 +107,9 @@ def op3(spark, sf_dir):
     return kdshard.shard_table(docs, shards=24).select(
         F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op1_string_tiling")
+def op1(spark, sf_dir):
+    leaks = decontam.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "n_tokens", "covered", "share", F.size("tiles").cast("long").alias("n_tiles"))
