@@ -79,13 +79,23 @@ def _at(df: DataFrame, n_dims: int) -> Column:
     return F.element_at(F.array(*[F.col(f"k{i}") for i in range(n_dims)]), F.col("dim") + 1)
 
 
+def _joined(rows: DataFrame, table: list[tuple], schema: str, how: str) -> DataFrame:
+    """``rows`` with the entry of their node; ``table`` has at most one entry per shard."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    if len(table) > 1:
+        return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, schema)), "node", how)
+    mine = F.col("node") == table[0][0]
+    rows = rows.where(mine) if how == "inner" else rows
+    kinds = [c.split()[1] for c in schema.split(", ")]
+    return rows.withColumns({n: F.when(mine, F.lit(v).cast(t)) for n, v, t in zip(names[1:], table[0][1:], kinds[1:])})
+
+
 def _cuts(rows: DataFrame, state: list[tuple], n_dims: int, tolerance: float) -> dict[int, int]:
     """Cut position per node: rows below it weigh as near ``need`` as the tolerance asks.
     state: (node, dim, lo, bits, need, k), narrowed until its bin is light or one value."""
-    spark, cuts = rows.sparkSession, {}
+    cuts = {}
     while state:
-        now = F.broadcast(spark.createDataFrame(state, _STATE))  # one row per open node
-        at = rows.join(now, "node").withColumn("_at", _at(rows, n_dims))
+        at = _joined(rows, state, _STATE, "inner").withColumn("_at", _at(rows, n_dims))
         inside = at.where("_at >= lo and shiftright(_at - lo, bits) = 0")
         bins = inside.withColumn("left", F.greatest(F.col("bits") - BIN_BITS, F.lit(0)))
         bins = bins.withColumn("bin", F.expr("shiftright(_at - lo, left)"))
@@ -133,8 +143,7 @@ def metadata(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
 
 def _step(rows: DataFrame, split: list[tuple], n_dims: int) -> DataFrame:
-    table = F.broadcast(rows.sparkSession.createDataFrame(split, "node long, dim int, cut long, step int"))  # <= one row per shard
-    moved = rows.join(table, "node", "left")
+    moved = _joined(rows, split, "node long, dim int, cut long, step int", "left")
     right = F.coalesce(F.when(_at(moved, n_dims) >= F.col("cut"), F.col("step")), F.lit(0))
     return moved.withColumn("node", F.col("node") + right).drop("dim", "cut", "step")
 
@@ -147,7 +156,7 @@ def _start(meta: DataFrame, low: list[float], high: list[float]) -> DataFrame:
 def fit_tree(meta: DataFrame, *, target_bytes: int | None = None, shards: int | None = None) -> Tree:
     """The tree over all rows of ``metadata``, for so many shards or for shards of so many bytes."""
     names = [c for c in meta.columns if c[0] == "d" and c[1:].isdigit()]
-    n_dims, spark = len(names), meta.sparkSession
+    n_dims = len(names)
     whole = meta.agg(F.sum("size").alias("w"), *[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]).first()
     total = whole["w"] or 0
     k_all = shards or max(1, math.ceil(total / target_bytes))
@@ -155,8 +164,7 @@ def fit_tree(meta: DataFrame, *, target_bytes: int | None = None, shards: int |
     rows = _start(meta, low, high)
     nodes, levels = {0: k_all}, []  # first shard of a node -> its number of shards
     while total and (wide := {n: k for n, k in nodes.items() if k > 1}):
-        some = F.broadcast(spark.createDataFrame([(n,) for n in wide], "node long"))
-        ext = rows.join(some, "node").groupBy("node").agg(
+        ext = _joined(rows, [(n, k) for n, k in wide.items()], "node long, k int", "inner").groupBy("node").agg(
             F.sum("size").alias("w"), *[f(f"k{i}").alias(f"{f.__name__}{i}") for i in range(n_dims) for f in (F.min, F.max)])
         state = []
         for r in ext.collect():  # one row per node
