@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowaudit.llm import decontam, kdshard, mixing, quality, secretscan, simhash, urlrules
+from rowaudit.llm import decontam, kdshard, langid, mixing, quality, quotes, secretscan, simhash, unitdedup, urlrules
 from rowaudit.llm.common import table
 
 QUERIES = {}
@@ -113,3 +113,23 @@ def op3(spark, sf_dir):
 def op1(spark, sf_dir):
     leaks = decontam.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", "n_tokens", "covered", "share", F.size("tiles").cast("long").alias("n_tiles"))
+
+
+@register("op7_unit_dedup")
+def op7(spark, sf_dir):
+    gone = unitdedup.repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return gone.select(F.col("id").alias("doc_id"), "start", "end", "n_words", F.col("first_id").alias("first_doc_id"), "first_start")
+
+
+@register("op10_langid")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+
+
+@register("op4_quote_links")
+def op4(spark, sf_dir):
+    msgs = quotes.messages(table(spark, sf_dir, "conversations"))
+    msgs = msgs.withColumn("own_md5", F.md5(quotes.own_text(F.col("text"))))
+    return quotes.reply_order(msgs, ("own_md5",)).select(
+        F.col("conv").alias("conv_id"), "turn", "role", "own_md5", "position", "parent_conv", "parent_turn", "n_quotes", "n_linked")
