@@ -131,3 +131,12 @@ def judge(docs: DataFrame, weights: list[int], *, text: str = "text", threshold:
                     F.col(prefix + "s").alias("n_symbols"), F.col(prefix + "d").alias("n_dup_lines"),
                     n_rep.alias("n_repeat_words"), failed.alias("base_failed"), llr.alias("llr"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+
+
+def keep(docs: DataFrame, weights: list[int], *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the columns of ``judge``.  The row number in the
+    filter stops the optimizer from moving the filter below the steps of ``judge``, where it
+    would evaluate their array expressions many times over."""
+    (n,) = fresh(docs, "_qn")
+    out = judge(docs, weights, text=text, threshold=threshold).withColumn(n, F.monotonically_increasing_id())
+    return out.where(F.col("kept") & (F.col(n) >= 0)).drop(n)
