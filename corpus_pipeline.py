@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     docs, restore = shielded(docs, CORE)
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     weights = quality.fit_weights(docs.select("doc_id", "text"), trusted)
-    return restore(quality.judge(docs, weights).where("kept"))
+    return restore(quality.keep(docs, weights))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
