@@ -18,6 +18,8 @@ from rowaudit.functions.hashing import seeded_key
 
 # Rows per bucket we are happy to sort inside one task.
 TARGET_BUCKET_ROWS = 1_000_000
+# Range buckets of an integer key.
+RANGE_BUCKETS = 4096
 # Offset tables up to this many rows are broadcast; larger ones are joined.
 BROADCAST_ROWS = 2_000_000
 
@@ -57,7 +59,7 @@ def _group_sizes(df: DataFrame, by: list[str]) -> tuple[int, int]:
 
 
 def global_rank(df: DataFrame, key: str, by: list[str] | None = None,
-                tie: str = "row_id", name: str = "rank", n: int | None = None) -> DataFrame:
+                tie: str = "row_id", name: str = "rank", n: int | None = None, bucket=None) -> DataFrame:
     """1-based rank of each row by the hex string ``key`` (then ``tie``),
     numbered across the whole table or within each ``by`` group.
 
@@ -67,20 +69,22 @@ def global_rank(df: DataFrame, key: str, by: list[str] | None = None,
     """
     by = list(by or [])
     n_max, n_groups = (n, 1) if (n is not None and not by) else _group_sizes(df, by)
-    if n_max <= TARGET_BUCKET_ROWS:
-        # every group fits one task's sort budget: a plain window is the same bound
-        w = Window.partitionBy(*by).orderBy(F.col(key), F.col(tie)) if by else Window.orderBy(F.col(key), F.col(tie))
-        return df.withColumn(name, F.row_number().over(w).cast("long"))
-    digits = max(1, math.ceil(math.log(n_max / TARGET_BUCKET_ROWS, 16)))
-    b = F.substring(F.col(key), 1, digits)
-    staged = df.withColumn("_bucket", b)
+    digits = max(2, math.ceil(math.log(max(n_max, 1) / TARGET_BUCKET_ROWS, 16)))
+    staged = df.withColumn("_bucket", F.substring(F.col(key), 1, digits) if bucket is None else bucket)
     counts = staged.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1) if by else \
         Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    # null group values are a group of their own: the join is null-safe
+    here = {c: f"_o{i}" for i, c in enumerate([*by, "_bucket"])}
+    offsets = offsets.withColumnsRenamed(here)
     # the offset table has at most groups * 16^digits rows: broadcast only under that proven bound
-    offsets = F.broadcast(offsets) if n_groups * 16 ** digits <= BROADCAST_ROWS else offsets
-    joined = staged.join(offsets, [*by, "_bucket"])
+    offsets = F.broadcast(offsets) if n_groups * max(16 ** digits, RANGE_BUCKETS) <= BROADCAST_ROWS else offsets
+    cond = None
+    for c, o in here.items():
+        same = F.col(c).eqNullSafe(F.col(o))
+        cond = same if cond is None else cond & same
+    joined = staged.join(offsets, cond).drop(*here.values())
     within = Window.partitionBy(*by, "_bucket").orderBy(F.col(key), F.col(tie))
     return joined.withColumn(name, (F.col("_off") + F.row_number().over(within)).cast("long")).drop("_bucket", "_off")
 
@@ -101,8 +105,10 @@ def stratified_folds(df: DataFrame, label: str, k: int, seed: int = 42,
     # class then fills its folds as contiguous blocks in row order.  Class c
     # occupies sorted positions [s, s+n); fold i gets the positions p with
     # p % k == i.  Block table: (#classes x k) rows, broadcast.
-    keyed = df.withColumn("_k", F.lpad(F.hex(F.col("row_id")), 16, "0"))
-    ranked = global_rank(keyed, "_k", by=[label], name="_r")
+    lo, hi = df.agg(F.min("row_id"), F.max("row_id")).first()
+    width = max(1, ((hi or 0) - (lo or 0)) // RANGE_BUCKETS + 1)
+    spread = F.floor((F.col("row_id") - F.lit(lo or 0)) / F.lit(width)).cast("long")
+    ranked = global_rank(df, "row_id", by=[label], name="_r", bucket=spread)
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_cn"))
     before = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_s", F.coalesce(F.sum("_cn").over(before), F.lit(0)))
@@ -113,9 +119,9 @@ def stratified_folds(df: DataFrame, label: str, k: int, seed: int = 42,
     upto = Window.partitionBy(label).orderBy(name)
     blocks = blocks.withColumn("_hi", F.sum("_alloc").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_alloc"))
     blocks = blocks.select(label, name, "_lo", "_hi")
-    cond = (ranked[label] == blocks[label]) & (ranked["_r"] > blocks["_lo"]) & (ranked["_r"] <= blocks["_hi"])
+    cond = ranked[label].eqNullSafe(blocks[label]) & (ranked["_r"] > blocks["_lo"]) & (ranked["_r"] <= blocks["_hi"])
     out = ranked.join(F.broadcast(blocks), cond).drop(blocks[label])
-    return out.withColumn(name, F.col(name).cast("int")).drop("_k", "_r", "_lo", "_hi")
+    return out.withColumn(name, F.col(name).cast("int")).drop("_r", "_lo", "_hi")
 
 
 def bounded_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
