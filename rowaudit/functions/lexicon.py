@@ -51,20 +51,29 @@ def _map_literal(rows, idx: int) -> Column:
 
 def lexicon_mean(text: Column, rows=None, which: str = "subjectivity") -> Column:
     """Mean polarity/subjectivity of the text's lexicon words, 0 if none."""
-    rows = rows or DEFAULT_LEXICON
+    rows = [r for r in (DEFAULT_LEXICON if rows is None else rows) if r[1 if which == "polarity" else 2] is not None]
+    if not rows:
+        return F.lit(0.0)
     m = _map_literal(rows, 1 if which == "polarity" else 2)
     found = F.filter(F.transform(tokens(text), lambda t: F.element_at(m, t)), lambda v: v.isNotNull())
     # one pass over the token scores: (sum, count) -> mean, 0 when no word is known
     acc0 = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
     agg = F.aggregate(found, acc0, lambda a, v: F.struct((a["s"] + v).alias("s"), (a["n"] + 1).alias("n")),
                       lambda a: F.when(a["n"] > 0, a["s"] / a["n"]).otherwise(F.lit(0.0)))
-    return agg
+    return F.coalesce(agg, F.lit(0.0))  # null text: no words
+
+
+def one_per_word(lexicon: DataFrame) -> DataFrame:
+    """A repeated word gets the mean of its scores; null scores and null words do not count."""
+    return (lexicon.where(F.col("word").isNotNull()).groupBy("word")
+            .agg(F.avg("polarity").alias("polarity"), F.avg("subjectivity").alias("subjectivity")))
 
 
 def lexicon_rows(lexicon: DataFrame | None):
     """Rows of a lexicon DataFrame if its size is within INLINE_LIMIT, else None."""
     if lexicon is None:
         return DEFAULT_LEXICON
+    lexicon = one_per_word(lexicon)
     if lexicon.count() > INLINE_LIMIT:
         return None
     return [(r[0], r[1], r[2]) for r in lexicon.select("word", "polarity", "subjectivity").collect()]
@@ -79,6 +88,6 @@ def lexicon_scores(df: DataFrame, text_col: str, lexicon: DataFrame | None = Non
     if rows is not None:
         return df.withColumn(name, lexicon_mean(F.col(text_col), rows, which))
     toks = df.select("row_id", F.explode(tokens(F.col(text_col))).alias("word"))
-    s = toks.join(lexicon.select("word", F.col(which).alias("_s")), "word") \
+    s = toks.join(one_per_word(lexicon).select("word", F.col(which).alias("_s")), "word") \
         .groupBy("row_id").agg(F.avg("_s").alias(name))
     return df.join(s, "row_id", "left").withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))

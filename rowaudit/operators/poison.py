@@ -100,8 +100,6 @@ def poison_regression(df: DataFrame, target: str, features: list[str], p: float
     """Type error (+ target -99999), +20 sd outlier, feature := column minimum."""
     f0 = numeric_features(df, features, target, True)[0]
     d, m = pick_poison_rows(df, p, seed)
-    if m == 0:
-        return d.withColumn("is_actual_poisoned", F.lit(0)).withColumn("orig_id", F.col("row_id"))
     d = d.withColumn(target, F.when(F.col("poison_phase") == 1, F.lit(REGRESSION_TARGET_ERROR))
                      .otherwise(F.col(target).cast("double")))
     d = _type_error_then_outlier(d, f0, 20.0, 20000.0)
@@ -115,8 +113,6 @@ def poison_classification(df: DataFrame, target: str, features: list[str], p: fl
     """Type error, +10 sd outlier (fallback 1000), label flip."""
     f0 = numeric_features(df, features, target, False)[0]
     d, m = pick_poison_rows(df, p, seed)
-    if m == 0:
-        return d.withColumn("is_actual_poisoned", F.lit(0)).withColumn("orig_id", F.col("row_id"))
     flip = _other_label(df, target, seed)
     d = _type_error_then_outlier(d, f0, 10.0, 1000.0)
     d = d.withColumn(target, F.when(F.col("poison_phase") == 3, flip).otherwise(F.col(target)))
@@ -127,8 +123,6 @@ def poison_text(df: DataFrame, text: str, target: str, p: float = 0.05, seed: in
                 shuffle: bool = True) -> DataFrame:
     """Malformed text (alternating short / bad link), spam suffix, label flip."""
     d, m = pick_poison_rows(df, p, seed)
-    if m == 0:
-        return d.withColumn("is_actual_poisoned", F.lit(0)).withColumn("orig_id", F.col("row_id"))
     flip = _other_label(df, target, seed)
     t = F.col(text).cast("string")
     malformed = F.when(F.col("poison_pos") % 2 == 0, F.lit(SHORT_TEXT)).otherwise(F.lit(LINK_TEXT))

@@ -4,7 +4,7 @@ wins, evaluated row-wise inside whole-stage codegen with no shuffle."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +41,6 @@ class TextRules:
     max_perplexity: float | None = None  # needs a 'perplexity' column (see text.py)
     gibberish_words: int = 3
     gibberish_subjectivity: float = 0.01
-    extra: list = field(default_factory=list)
 
 
 def numeric_value(df: DataFrame, c: str) -> Column:
@@ -99,6 +98,11 @@ def table_flags(df: DataFrame, rules: list[ColumnRule]) -> DataFrame:
     return flags_from(check_table(df, rules, "_p1"), "_p1", 1)
 
 
+def _need(df: DataFrame, column: str, check: str) -> None:
+    if column not in df.columns:
+        raise ValueError(f"The {check} check needs the column {column!r}")
+
+
 def text_violation(df: DataFrame, text_col: str, rules: TextRules, lexicon_rows_=None) -> Column:
     """First text finding: length, URL, gibberish, then the optional checks."""
     t = F.col(text_col)
@@ -115,10 +119,12 @@ def text_violation(df: DataFrame, text_col: str, rules: TextRules, lexicon_rows_
     if rules.flag_pii:
         k = pii_kind(t)
         parts.append(F.when(k.isNotNull(), finding(4, text_col, F.concat(F.lit("Personal data "), k))))
-    if rules.language is not None and rules.language_col in df.columns:
+    if rules.language is not None:
+        _need(df, rules.language_col, "language")
         lang = F.col(rules.language_col)
         parts.append(F.when(lang.isNull() | (lang != rules.language), finding(5, text_col, "Language mismatch")))
-    if rules.max_perplexity is not None and "perplexity" in df.columns:
+    if rules.max_perplexity is not None:
+        _need(df, "perplexity", "perplexity")
         parts.append(F.when(F.col("perplexity") > rules.max_perplexity,
                             finding(6, text_col, "High perplexity", F.col("perplexity"))))
     return F.coalesce(*parts)

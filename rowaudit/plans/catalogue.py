@@ -1071,11 +1071,17 @@ loss AS (SELECT ld.doc_id AS row_id, -ln(least(greatest(cs.n / CAST(s.n AS DOUBL
 
 def _given_losses(spark, sf):
     """Per-row log loss of the label under p(label | source) estimated on the table."""
+    from pyspark.ml.functions import array_to_vector
+
+    from rowaudit.operators.audit import with_loss
     ld = labelled_docs(spark, sf)
     cs = ld.groupBy("source", "quality").agg(F.count(F.lit(1)).alias("_cn"))
     s = ld.groupBy("source").agg(F.count(F.lit(1)).alias("_sn"))
-    p = F.least(F.greatest(F.col("_cn") / F.col("_sn"), F.lit(1e-15)), F.lit(1 - 1e-15))
-    return ld.join(cs, ["source", "quality"]).join(s, "source").select("row_id", (-F.log(p)).alias("loss"))
+    # as a model would hand it over: class probabilities and the index of the given label
+    p = F.col("_cn") / F.col("_sn")
+    pred = ld.join(cs, ["source", "quality"]).join(s, "source").select(
+        "row_id", array_to_vector(F.array(p, 1 - p)).alias("probability"), F.lit(0).alias("label_idx"))
+    return with_loss(pred).select("row_id", "loss")
 
 
 @register("row_log_loss", f"WITH {LOSS_SQL} SELECT row_id, round(loss, 6) AS loss FROM loss")
@@ -1121,11 +1127,11 @@ TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 @register("read_jsonl", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def q_read_jsonl(spark, sf):
     from rowaudit.session import shared_dir
+    from rowaudit.sources.files import read_jsonl
     e = table(spark, sf, "events")
     path = shared_dir(spark, "jsonl")
     e.write.option("timestampFormat", TS_FORMAT).option("timestampNTZFormat", TS_FORMAT).json(path)
-    return (spark.read.schema(e.schema).option("timestampFormat", TS_FORMAT)
-            .option("timestampNTZFormat", TS_FORMAT).json(path))
+    return read_jsonl(spark, path, e.schema, timestampFormat=TS_FORMAT, timestampNTZFormat=TS_FORMAT)
 
 
 @register("write_clean_csv", f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority

@@ -55,18 +55,14 @@ def read_json_records(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return r.json(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """JSON lines: one object per line (splittable)."""
-    r = spark.read
+def read_jsonl(spark: SparkSession, path: str, schema=None, **options) -> DataFrame:
+    """JSON lines: one object per line (splittable).  ``options`` go to the JSON reader."""
+    r = spark.read.options(**options)
     if schema is not None:
         r = r.schema(schema)
     return r.json(path)
 
 
-def write_json_records(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
-
-
 def write_clean_csv(df: DataFrame, flags: DataFrame | None, path: str, drop_cols=("row_id",)) -> None:
     """Rows not flagged, as header CSV: quote when needed, double the quotes,
     null as empty.  The anti join runs distributed; files are written per task."""
