@@ -7,7 +7,8 @@ node, the widest one (relative to the whole table) is chosen, and the weighted q
 that divides the bytes as the leaves are to be divided (a median for an even number) is
 found by histogram refinement: bytes per (node, bin) are summed with map-side combine, a
 running sum over at most 16,384 bins per node finds the bin that holds the cut, and that
-bin is split again.  Only one row per node reaches the driver; no task sorts the table.
+bin is split again between the least and the greatest position in it, until it is light or
+holds one position.  Only one row per node reaches the driver; no task sorts the table.
 
 Positions along a dimension are 63-bit integers: 20 bits of the scaled value, 31 bits of a
 hash of id and text, 12 bits that tell equal rows apart.  So a value that holds a third of
@@ -26,6 +27,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +39,8 @@ KEY_BITS, VALUE_BITS, BIN_BITS = 63, 20, 14
 #: A cut may leave this share of one leaf's bytes on the wrong side.
 TOLERANCE = 0.002
 BUCKET_ROWS = 50_000
-_STATE = "node long, dim int, lo long, bits int, need double, k int"
+_STATE = "node long, dim int, lo long, bits int, need double"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
 
 
 def text_bytes(text: Column) -> Column:
@@ -83,7 +86,9 @@ def _joined(rows: DataFrame, table: list[tuple], schema: str, how: str) -> DataF
     """``rows`` with the entry of their node; ``table`` has at most one entry per shard."""
     names = [c.split()[0] for c in schema.split(", ")]
     if len(table) > 1:
-        return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, schema)), "node", how)
+        kinds = [_ARROW[c.split()[1]] for c in schema.split(", ")]
+        local = pa.table([pa.array(v, t) for v, t in zip(zip(*table), kinds)], names=names)
+        return rows.join(F.broadcast(rows.sparkSession.createDataFrame(local)), "node", how)
     mine = F.col("node") == table[0][0]
     rows = rows.where(mine) if how == "inner" else rows
     kinds = [c.split()[1] for c in schema.split(", ")]
@@ -92,32 +97,31 @@ def _joined(rows: DataFrame, table: list[tuple], schema: str, how: str) -> DataF
 
 def _cuts(rows: DataFrame, state: list[tuple], n_dims: int, tolerance: float) -> dict[int, int]:
     """Cut position per node: rows below it weigh as near ``need`` as the tolerance asks.
-    state: (node, dim, lo, bits, need, k), narrowed until its bin is light or one value."""
+    state: (node, dim, lo, bits, need), the positions lo .. lo + 2^bits - 1 that hold the cut."""
     cuts = {}
     while state:
         at = _joined(rows, state, _STATE, "inner").withColumn("_at", _at(rows, n_dims))
         inside = at.where("_at >= lo and shiftright(_at - lo, bits) = 0")
-        bins = inside.withColumn("left", F.greatest(F.col("bits") - BIN_BITS, F.lit(0)))
-        bins = bins.withColumn("bin", F.expr("shiftright(_at - lo, left)"))
-        hist = bins.groupBy("node", "bin").agg(F.sum("size").alias("w"), F.max("need").alias("need"), F.max("left").alias("left"))
+        bins = inside.withColumn("bin", F.expr(f"shiftright(_at - lo, greatest(bits - {BIN_BITS}, 0))"))
+        hist = bins.groupBy("node", "bin").agg(F.sum("size").alias("w"), F.max("need").alias("need"),
+                                               F.min("_at").alias("first"), F.max("_at").alias("last"))
         run = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        last = Window.partitionBy("node")
-        hist = hist.withColumn("upto", F.sum("w").over(run)).withColumn("end", F.max("bin").over(last))
+        whole = Window.partitionBy("node")
+        hist = hist.withColumn("upto", F.sum("w").over(run)).withColumn("end", F.max("bin").over(whole))
         hit = hist.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("w") < F.col("need"))
                          | (F.col("bin") == F.col("end")) & (F.col("upto") < F.col("need")))
         found = {r["node"]: r for r in hit.collect()}  # one row per open node
         nxt = []
-        for node, dim, lo, bits, need, k in state:
+        for node, dim, lo, _, need in state:
             r = found.get(node)
             if r is None:  # nothing to divide
                 cuts[node] = lo
                 continue
-            start = lo + (r["bin"] << r["left"])
             rest = need - (r["upto"] - r["w"])
-            if r["w"] <= tolerance or r["left"] == 0:
-                cuts[node] = start if rest < r["w"] / 2 else start + (1 << r["left"])
+            if r["w"] <= tolerance or r["first"] == r["last"]:
+                cuts[node] = r["first"] if rest < r["w"] / 2 else r["last"] + 1
             else:
-                nxt.append((node, dim, start, r["left"], rest, k))
+                nxt.append((node, dim, r["first"], (r["last"] - r["first"]).bit_length(), rest))
         state = nxt
     return {n: min(c, (1 << KEY_BITS) - 1) for n, c in cuts.items()}
 
@@ -169,10 +173,10 @@ def fit_tree(meta: DataFrame, *, target_bytes: int | None = None, shards: int |
         state = []
         for r in ext.collect():  # one row per node
             span = [r[f"max{i}"] - r[f"min{i}"] for i in range(n_dims)]
-            k = wide[r["node"]]
-            state.append((r["node"], span.index(max(span)), 0, KEY_BITS, r["w"] * (k // 2) / k, k))
+            k, dim = wide[r["node"]], span.index(max(span))
+            state.append((r["node"], dim, r[f"min{dim}"], max(span).bit_length(), r["w"] * (k // 2) / k))
         cuts = _cuts(rows, state, n_dims, TOLERANCE * total / k_all)
-        split = [(n, dim, cuts[n], k // 2) for n, dim, _, _, _, k in state]
+        split = [(n, dim, cuts[n], wide[n] // 2) for n, dim, *_ in state]
         if not split:  # the nodes left to divide have no rows
             break
         levels.append(split)
