@@ -94,10 +94,10 @@ def flag_high_loss(scored: DataFrame, quantile: float = 0.95, name: str = "p3")
     return scored.withColumn(name, F.when(F.col("loss") > F.lit(thr), finding(0, None, reason, F.col("loss"))))
 
 
-def _lr(train: DataFrame, weighted: bool):
+def _lr(train: DataFrame, weighted: bool, max_iter: int = 2000):
     total = train.agg(F.sum("_w") if weighted else F.count(F.lit(1))).first()[0]
     kw = dict(featuresCol="features", labelCol="label_idx", regParam=1.0 / float(total),
-              elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8)
+              elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8)
     if weighted:
         kw["weightCol"] = "_w"
     return LogisticRegression(**kw)
@@ -141,7 +141,7 @@ class _TextTfidfLR:
         ep = ElementwiseProduct(scalingVec=scale, inputCol="_tf", outputCol="_tfidf")
         nrm = Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)
         feats = nrm.transform(ep.transform(tf))
-        lr = _lr(feats, False).fit(feats)
+        lr = _lr(feats, False, 1000).fit(feats)
         return _Chain([counts, ep, nrm, lr])
 
 

@@ -12,6 +12,7 @@ from rowaudit.functions.numeric import strict_double
 from rowaudit.functions.text import clean_text, word_count
 from rowaudit.operators import profile as pr
 from rowaudit.operators.outliers import medians
+from rowaudit.operators.rows import BROADCAST_ROWS
 from rowaudit.operators.rules import numeric_value
 
 # Rows per fill bucket (one task sorts at most this many rows).
@@ -54,30 +55,33 @@ def ffill_bfill(df: DataFrame, col: str, order: str = "row_id", bucket_rows: int
                 parse: bool = True) -> DataFrame:
     """Forward then backward fill of ``col`` in ``order`` (a unique long).
 
-    Rows are cut into buckets of ``bucket_rows`` consecutive ids; the fill runs
-    inside each bucket, and each bucket's last/first non-null value is carried
-    across buckets through a small per-bucket table.
+    The rows are numbered in that order and cut into buckets of ``bucket_rows`` consecutive
+    positions, so sparse or clustered ids make no difference.  The fill runs inside each
+    bucket, and each bucket's last/first non-null value is carried across buckets through a
+    per-bucket table.  Only order and value are moved; rows without an order value get null.
     """
     v = F.col(col)
     if parse and isinstance(df.schema[col].dataType, T.StringType):
         v = F.try_to_timestamp(v)
-    d = df.withColumn("_v", v).withColumn("_b", F.floor(F.col(order) / bucket_rows))
+    d = ranked_sorted(df.select(F.col(order).alias("_o"), v.alias("_v")).where(F.col("_o").isNotNull()), "_o", "_pos")
+    d = d.withColumn("_b", F.floor((F.col("_pos") - 1) / bucket_rows))
     # both fills are running frames (O(n) per bucket); the backward fill runs
     # over the reversed order instead of a shrinking 'to unbounded following' frame
-    fwd = Window.partitionBy("_b").orderBy(F.col(order).asc()).rowsBetween(Window.unboundedPreceding, 0)
-    bwd = Window.partitionBy("_b").orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_ff", F.last("_v", ignorenulls=True).over(fwd)) \
-         .withColumn("_bf", F.last("_v", ignorenulls=True).over(bwd))
-    per = d.groupBy("_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_last"),
-                              F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_first"))
-    # one row per bucket: a bounded table, ordered without a partition
+    fwd = Window.partitionBy("_b").orderBy(F.col("_pos").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    bwd = Window.partitionBy("_b").orderBy(F.col("_pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    per = d.groupBy("_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_pos"))).alias("_last"),
+                              F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col("_pos"))).alias("_first"))
+    # one row per bucket of ``bucket_rows`` rows, ordered without a partition
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
     per = per.select("_b", F.last("_last", ignorenulls=True).over(before).alias("_carry_f"),
                      F.first("_first", ignorenulls=True).over(after).alias("_carry_b"))
-    d = d.join(F.broadcast(per), "_b", "left")
-    filled = F.coalesce("_ff", "_carry_f", "_bf", "_carry_b")
-    return d.withColumn(col, filled).drop("_v", "_b", "_ff", "_bf", "_carry_f", "_carry_b")
+    d = d.withColumn("_ff", F.last("_v", ignorenulls=True).over(fwd)) \
+         .withColumn("_bf", F.last("_v", ignorenulls=True).over(bwd))
+    small = (d.agg(F.max("_b")).first()[0] or 0) < BROADCAST_ROWS
+    d = d.join(F.broadcast(per) if small else per, "_b", "left")
+    d = d.select("_o", F.coalesce("_ff", "_carry_f", "_bf", "_carry_b").alias("_fill"))
+    return df.join(d, F.col(order) == F.col("_o"), "left").withColumn(col, F.col("_fill")).drop("_o", "_fill")
 
 
 def text_features(df: DataFrame, col: str, lexicon_rows=None) -> DataFrame:

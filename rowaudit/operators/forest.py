@@ -1,8 +1,8 @@
 """Isolation Forest (Liu, Ting & Zhou, 2008) on Spark.
 
-Training cost does not grow with the table: each tree sees ``psi`` rows
-(<= 256) drawn from a bounded, hash-selected pool, and the trees are grown in
-parallel, one task per group of trees.  The node table
+Each tree sees ``psi`` rows (<= 256) drawn from the whole table by a hash of tree
+and row id, and the trees are grown in parallel, one group of rows per tree.  The
+rows that are shuffled number about ``trees * psi`` at any table size.  The node table
 (<= trees * (2*psi - 1) rows) is broadcast and every row is scored in a
 map-only ``mapInPandas`` pass over Arrow batches.
 """
@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowaudit.functions.hashing import seeded_key
 from rowaudit.operators.flags import finding
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
@@ -98,35 +97,30 @@ def fit(df: DataFrame, cols: list[str], n_trees: int = 200, max_samples: int = 2
         seed: int = 42, n: int | None = None) -> IsolationForestModel:
     """Grow ``n_trees`` isolation trees on seeded subsamples of ``df``.
 
-    The training pool is the ``min(n, n_trees * psi)`` rows with the smallest
-    md5(seed:row_id) -- a bounded top-n, independent of the table size.  It
-    is broadcast once; one task per tree draws its ``psi`` rows from it with
-    a per-tree NumPy generator and grows the tree.
+    A row joins a tree if xxhash64(seed, tree, row_id) is below a threshold that
+    lets in a few more than ``psi`` rows on average (six standard deviations); the
+    tree takes the ``psi`` of smallest hash.  Every row can be drawn, nothing but the
+    grown nodes reaches the driver.
     """
     n = df.count() if n is None else n
     psi = int(min(max_samples, n))
     limit = int(math.ceil(math.log2(max(psi, 2))))
-    pool_size = int(min(n, n_trees * psi))
+    share = min(1.0, (psi + 6.0 * math.sqrt(psi) + 16.0) / max(n, 1))
     base = df.select("row_id", *[F.col(c).cast("double").alias(c) for c in cols])
-    pool = (base.withColumn("_k", seeded_key(seed, "row_id")).orderBy("_k", "row_id").limit(pool_size)
-            .drop("_k").toPandas().sort_values("row_id"))
-    X_pool = pool[cols].to_numpy(float)
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(X_pool)
-
-    def grow(batches):
-        X_all = bc.value
-        for pdf in batches:
-            for tree in pdf["id"].tolist():
-                rng = np.random.default_rng([seed, int(tree)])
-                take = rng.choice(len(X_all), size=psi, replace=False) if psi < len(X_all) else np.arange(len(X_all))
-                f, t, lft, rgt, sz, d = _grow_tree(X_all[np.sort(take)], rng, limit)
-                yield pd.DataFrame({"tree": int(tree), "node": np.arange(len(f), dtype=np.int32), "feature": f,
-                                    "threshold": t, "left": lft, "right": rgt, "size": sz, "depth": d})
-
-    trees = spark.range(0, n_trees, 1, numPartitions=min(n_trees, max(1, spark.sparkContext.defaultParallelism)))
-    nodes = trees.mapInPandas(grow, NODE_SCHEMA).toPandas()
-    bc.unpersist()
+    draws = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(
+        t.alias("tree"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, F.col("row_id")), 1).alias("draw")))
+    if share < 1.0:
+        draws = F.filter(draws, lambda x: x["draw"] < F.lit(int(share * float(1 << 63))))
+    drawn = base.withColumn("_d", F.explode(draws)).select("_d.tree", "_d.draw", "row_id", *cols)
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
+        X = pdf.sort_values(["draw", "row_id"])[cols].to_numpy(float)[:psi]
+        f, t, lft, rgt, sz, d = _grow_tree(X, np.random.default_rng([seed, tree]), limit)
+        return pd.DataFrame({"tree": tree, "node": np.arange(len(f), dtype=np.int32), "feature": f,
+                             "threshold": t, "left": lft, "right": rgt, "size": sz, "depth": d})
+
+    nodes = drawn.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
     return IsolationForestModel(nodes, cols, psi)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from rowaudit.functions.hashing import seeded_key, unit_uniform
 from rowaudit.functions.numeric import strict_double
+from rowaudit.operators.clean import ranked_sorted
 from rowaudit.operators.rows import global_rank
 from rowaudit.session import cut_lineage
 
@@ -26,7 +27,6 @@ SHORT_TEXT = "short"
 LINK_TEXT = "Check http://malicious-link.xyz"
 SPAM_SUFFIX = " buy crypto now free profit!!!"
 ENSEMBLE_SPAM_SUFFIX = " spam inject poison fake review"
-LABEL_LIMIT = 10_000
 
 
 def phase_size(n: int, p: float) -> int:
@@ -57,7 +57,7 @@ def numeric_features(df: DataFrame, features: list[str], target: str | None, exc
         num = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)
                and f.name not in ("row_id",) and not (exclude_target and f.name == target)]
     if not num:
-        raise ValueError("No numeric features found")
+        raise ValueError("the table has no numeric column to poison")
     return num
 
 
@@ -74,16 +74,24 @@ def _type_error_then_outlier(d: DataFrame, f0: str, sd_mult: float, fallback: fl
     return d.withColumn(f0, F.when(F.col("poison_phase") == 2, new.cast("string")).otherwise(F.col(f0)))
 
 
-def _other_label(df: DataFrame, label: str, seed: int) -> F.Column:
-    labels = [r[0] for r in df.select(F.col(label)).distinct().where(F.col(label).isNotNull())
-              .orderBy(label).limit(LABEL_LIMIT + 1).collect()]
-    if len(labels) > LABEL_LIMIT:
-        raise ValueError("too many labels to flip between")
-    arr = F.array(*[F.lit(x) for x in labels])
-    others = F.filter(arr, lambda x: x != F.col(label))
+def _label_ranks(df: DataFrame, label: str) -> DataFrame:
+    """(_lab, _li): the distinct labels, numbered from 1 in sorted order."""
+    return ranked_sorted(df.select(F.col(label).alias("_lab")).where(F.col("_lab").isNotNull()).distinct(), "_lab", "_li")
+
+
+def _flip_labels(d: DataFrame, label: str, ranks: DataFrame, seed: int) -> DataFrame:
+    """Phase 3: another label, drawn by the row's hash.  Joined by value and by number, so any
+    number of labels will do; null labels, and a single label, stay."""
+    k = ranks.count()
+    if k < 2:
+        return d
     h = F.conv(F.substring(seeded_key(seed, F.lit("flip"), "row_id"), 1, 8), 16, 10).cast("long")
-    pick = F.element_at(others, (F.pmod(h, F.greatest(F.size(others), F.lit(1))) + 1).cast("int"))
-    return F.when(F.size(others) > 0, pick).otherwise(F.col(label))
+    j = F.pmod(h, F.lit(k - 1)) + 1
+    own = ranks.select(F.col("_lab").alias("_own"), F.col("_li"))
+    new = ranks.select(F.col("_lab").alias("_new"), F.col("_li").alias("_ni"))
+    out = d.join(own, (F.col("poison_phase") == 3) & (F.col(label) == F.col("_own")), "left")
+    out = out.withColumn("_pick", j + (j >= F.col("_li")).cast("int")).join(new, F.col("_pick") == F.col("_ni"), "left")
+    return out.withColumn(label, F.coalesce(F.col("_new"), F.col(label))).drop("_own", "_li", "_new", "_ni", "_pick")
 
 
 def _finalize(d: DataFrame, seed: int) -> DataFrame:
@@ -113,9 +121,9 @@ def poison_classification(df: DataFrame, target: str, features: list[str], p: fl
     """Type error, +10 sd outlier (fallback 1000), label flip."""
     f0 = numeric_features(df, features, target, False)[0]
     d, m = pick_poison_rows(df, p, seed)
-    flip = _other_label(df, target, seed)
+    ranks = _label_ranks(df, target)
     d = _type_error_then_outlier(d, f0, 10.0, 1000.0)
-    d = d.withColumn(target, F.when(F.col("poison_phase") == 3, flip).otherwise(F.col(target)))
+    d = _flip_labels(d, target, ranks, seed)
     return _finalize(d, seed) if shuffle else d
 
 
@@ -123,13 +131,13 @@ def poison_text(df: DataFrame, text: str, target: str, p: float = 0.05, seed: in
                 shuffle: bool = True) -> DataFrame:
     """Malformed text (alternating short / bad link), spam suffix, label flip."""
     d, m = pick_poison_rows(df, p, seed)
-    flip = _other_label(df, target, seed)
+    ranks = _label_ranks(df, target)
     t = F.col(text).cast("string")
     malformed = F.when(F.col("poison_pos") % 2 == 0, F.lit(SHORT_TEXT)).otherwise(F.lit(LINK_TEXT))
     d = d.withColumn(text, F.when(F.col("poison_phase") == 1, malformed)
                      .when(F.col("poison_phase") == 2, F.concat(F.coalesce(t, F.lit("None")), F.lit(SPAM_SUFFIX)))
                      .otherwise(t))
-    d = d.withColumn(target, F.when(F.col("poison_phase") == 3, flip).otherwise(F.col(target)))
+    d = _flip_labels(d, target, ranks, seed)
     return _finalize(d, seed) if shuffle else d
 
 

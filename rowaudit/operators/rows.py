@@ -104,7 +104,7 @@ def stratified_folds(df: DataFrame, label: str, k: int, seed: int = 42,
     # Unshuffled: the labels, sorted, are dealt round-robin into k folds; each
     # class then fills its folds as contiguous blocks in row order.  Class c
     # occupies sorted positions [s, s+n); fold i gets the positions p with
-    # p % k == i.  Block table: (#classes x k) rows, broadcast.
+    # p % k == i.  Block table: (#classes x k) rows, broadcast if few.
     lo, hi = df.agg(F.min("row_id"), F.max("row_id")).first()
     width = max(1, ((hi or 0) - (lo or 0)) // RANGE_BUCKETS + 1)
     spread = F.floor((F.col("row_id") - F.lit(lo or 0)) / F.lit(width)).cast("long")
@@ -120,7 +120,8 @@ def stratified_folds(df: DataFrame, label: str, k: int, seed: int = 42,
     blocks = blocks.withColumn("_hi", F.sum("_alloc").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_alloc"))
     blocks = blocks.select(label, name, "_lo", "_hi")
     cond = ranked[label].eqNullSafe(blocks[label]) & (ranked["_r"] > blocks["_lo"]) & (ranked["_r"] <= blocks["_hi"])
-    out = ranked.join(F.broadcast(blocks), cond).drop(blocks[label])
+    few = sizes.count() * k <= BROADCAST_ROWS
+    out = ranked.join(F.broadcast(blocks) if few else blocks, cond).drop(blocks[label])
     return out.withColumn(name, F.col(name).cast("int")).drop("_r", "_lo", "_hi")
 
 

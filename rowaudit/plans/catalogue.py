@@ -972,15 +972,15 @@ def q_synth_gaussian_table(spark, sf):
     return g.select("row_id", *[F.round(c, 6).alias(c) for c in ("feature1", "feature2", "feature3", "target")])
 
 
-@register("inject_shift", f"""WITH {GAUSS_SQL},
-r AS (SELECT *, row_number() OVER (ORDER BY md5('42:shift:' || CAST(row_id AS VARCHAR)), row_id) AS rk FROM g),
-k AS (SELECT CAST(floor(0.05 * count(*)) AS BIGINT) AS k FROM g)
-SELECT row_id, round(CASE WHEN rk <= k THEN feature1 + 10.0 ELSE feature1 END, 6) AS feature1,
+@register("inject_shift", """WITH r AS (
+  SELECT event_id AS row_id, value, row_number() OVER (ORDER BY md5('42:shift:' || CAST(event_id AS VARCHAR)), event_id) AS rk FROM events),
+k AS (SELECT CAST(floor(0.05 * count(*)) AS BIGINT) AS k FROM events)
+SELECT row_id, round(CASE WHEN rk <= k THEN value + 10.0 ELSE value END, 6) AS value,
   CAST(rk <= k AS INTEGER) AS is_actual_poisoned FROM r, k""")
 def q_inject_shift(spark, sf):
     from rowaudit.operators.poison import inject_shift
-    d = inject_shift(gaussian_table(spark, sf), "feature1", 0.05, 10.0, 42)
-    return d.select("row_id", F.round("feature1", 6).alias("feature1"), "is_actual_poisoned")
+    d = inject_shift(events(spark, sf).select("row_id", "value"), "value", 0.05, 10.0, 42)
+    return d.select("row_id", F.round("value", 6).alias("value"), "is_actual_poisoned")
 
 
 # ------------------------------------------------------- I: detectors with SQL forms
@@ -1268,8 +1268,9 @@ def q_sanitize_text(spark, sf):
 def q_ensemble_detect_table(spark, sf):
     from rowaudit.operators.poison import inject_shift
     from rowaudit.plans.jobs import ensemble_detect_table
-    g = inject_shift(gaussian_table(spark, sf).drop("target"), "feature1", 0.05, 10.0, 42)
-    _, metrics = ensemble_detect_table(g, ["feature1", "feature2", "feature3"])
+    e = events(spark, sf).select("row_id", *[F.col(c).cast("double").alias(c) for c in EVENT_NUM])
+    sd = e.agg(F.stddev_pop("value")).first()[0]
+    _, metrics = ensemble_detect_table(inject_shift(e, "value", 0.05, 10.0 * sd, 42), EVENT_NUM)
     return metrics
 
 
