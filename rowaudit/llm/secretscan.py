@@ -8,7 +8,9 @@ points with an exclusive end.
   (hexadecimal digits, else base64 characters) of at least the window of that class.
   A window slides over the candidate; its entropy is kept by incremental character
   counts (one character enters, one leaves, two terms change).  The span is the union
-  of adjacent windows at or above the class threshold.
+  of adjacent windows at or above the class threshold.  A base64 window has the threshold
+  of the alphabet that its own characters show: digits and letters of one case (base 32
+  and 36), or any other.  Spans of both classes that meet are one.
 * The allow-list suppresses entropy spans only: placeholders, UUIDs and alphabet
   sequences are no secrets.  Pattern spans always stay.
 
@@ -40,7 +42,8 @@ CLASSES = {
     "hex": (re.compile(r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{20,}(?![A-Za-z0-9+/_=-])"), 20, 3.0),
     "base64": (re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 3.9),
 }
-MIXED = (re.compile("[0-9]"), re.compile("[A-Z]"), re.compile("[a-z]"))
+#: Bits for a base64 window of digits and letters of one case: 32 to 36 characters instead of 64.
+ONE_CASE_BITS = 3.75
 UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 ALLOWED = ("example", "placeholder", "changeme", "dummy", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "deadbeef")
 
@@ -59,13 +62,21 @@ def base_spans(text: str) -> list[Span]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
-def hot_windows(run: str, width: int, bits: float) -> list[tuple[int, int]]:
-    """Unions of the windows of ``run`` with at least ``bits`` of Shannon entropy, by
-    incremental counts: H = log2(width) - sum(c * log2(c)) / width."""
-    term = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+def hot_windows(run: str, width: int, bits: float, one_case: float | None = None) -> list[tuple[int, int]]:
+    """Unions of the windows of ``run`` with at least ``bits`` of Shannon entropy (``one_case``
+    where a window has digits and no letters of both cases), by incremental counts:
+    H = log2(width) - sum(c * log2(c)) / width."""
+    term = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]  # one enters before one leaves
     count: dict[str, int] = {}
     total, out = 0.0, []
+    upper = lower = digit = -1  # places of the last of each kind
     for i, ch in enumerate(run):
+        if "A" <= ch <= "Z":
+            upper = i
+        elif "a" <= ch <= "z":
+            lower = i
+        elif "0" <= ch <= "9":
+            digit = i
         c = count.get(ch, 0)
         total += term[c + 1] - term[c]
         count[ch] = c + 1
@@ -75,7 +86,8 @@ def hot_windows(run: str, width: int, bits: float) -> list[tuple[int, int]]:
             total += term[c - 1] - term[c]
             count[gone] = c - 1
         lo = i - width + 1
-        if lo >= 0 and math.log2(width) - total / width >= bits - 1e-9:
+        need = bits if one_case is None or digit < lo or min(upper, lower) >= lo else one_case
+        if lo >= 0 and math.log2(width) - total / width >= need - 1e-9:
             if out and lo <= out[-1][1]:
                 out[-1] = (out[-1][0], i + 1)
             else:
@@ -84,17 +96,22 @@ def hot_windows(run: str, width: int, bits: float) -> list[tuple[int, int]]:
 
 
 def entropy_spans(text: str) -> list[Span]:
-    out: list[Span] = []
+    found: list[tuple[int, int]] = []
     for name, (pattern, width, bits) in CLASSES.items():
         for m in pattern.finditer(text):
             run = m.group()
             low = run.lower()
             if any(a in low for a in ALLOWED) or UUID.fullmatch(run):
                 continue
-            if name == "base64" and not all(k.search(run) for k in MIXED):
-                continue  # words and paths: not of mixed classes
-            out += [("entropy", m.start() + a, m.start() + b) for a, b in hot_windows(run, width, bits)]
-    return out
+            hot = hot_windows(run, width, bits, ONE_CASE_BITS if name == "base64" else None)
+            found += [(m.start() + a, m.start() + b) for a, b in hot]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return [("entropy", a, b) for a, b in out]
 
 
 def _ordered(spans: list[Span]) -> list[Span]:

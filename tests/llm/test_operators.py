@@ -1,5 +1,6 @@
 """Training-data operators against brute force, DuckDB and edge tables."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -169,6 +170,16 @@ def test_secrets():
         assert got == set(want)
 
 
+def test_secrets_of_one_case():
+    rng = random.Random(5)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        keys = ["".join(rng.choices(alphabet, k=40)) for _ in range(200)]
+        assert sum(bool(secretscan.entropy_spans(f"key {k} end")) for k in keys) >= 190
+    assert len(secretscan.entropy_spans("b7f27643b0f8af9751ec870c6db5788cbf54acbc")) == 1
+    for plain in ("Donaudampfschifffahrtsgesellschaft", "anbletitionthtionbletion", "=" * 40):
+        assert not secretscan.entropy_spans(plain)
+
+
 def test_langid(spark):
     net = langid.ByteNet(["a", "b"])
     x = np.random.default_rng(0).integers(0, 256, (5, langid.WINDOW)).astype(np.uint8)
