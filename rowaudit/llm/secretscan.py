@@ -11,8 +11,12 @@ points with an exclusive end.
   of adjacent windows at or above the class threshold.  A base64 window has the threshold
   of the alphabet that its own characters show: digits and letters of one case (base 32
   and 36), or any other.  Spans of both classes that meet are one.
-* The allow-list suppresses entropy spans only: placeholders, UUIDs and alphabet
-  sequences are no secrets.  Pattern spans always stay.
+* A run is cut after ``=`` before other characters (``name=value``; in base64 it only ends
+  a value), and hexadecimal runs end at any character but letters and digits, so a
+  neighbour does not change the class.  ``/``, ``_`` and ``-`` belong to base64 and do not cut.
+* The allow-list suppresses entropy windows only: placeholders, UUIDs and alphabet
+  sequences are no secrets.  A listed word stands for the run of letters and digits
+  that holds it, and the windows that overlap it are dropped.  Pattern spans always stay.
 
 Defined cases: null and empty texts give no span and the digest of the empty string;
 a very long text costs time in proportion to its length; repeated rows are scanned one
@@ -24,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,13 +43,14 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 #: class name -> (characters, window, bits per character that a window must reach)
 CLASSES = {
-    "hex": (re.compile(r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{20,}(?![A-Za-z0-9+/_=-])"), 20, 3.0),
-    "base64": (re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 3.9),
+    "hex": (re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}(?![A-Za-z0-9])"), 20, 3.0),
+    "base64": (re.compile(r"(?:[A-Za-z0-9+/_-]|=(?![A-Za-z0-9+/_-])){24,}"), 24, 3.9),
 }
 #: Bits for a base64 window of digits and letters of one case: 32 to 36 characters instead of 64.
 ONE_CASE_BITS = 3.75
-UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
+UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
 ALLOWED = ("example", "placeholder", "changeme", "dummy", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "deadbeef")
+_WORD = re.compile("[0-9A-Za-z]+")
 
 Span = tuple[str, int, int]
 
@@ -62,15 +67,20 @@ def base_spans(text: str) -> list[Span]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
-def hot_windows(run: str, width: int, bits: float, one_case: float | None = None) -> list[tuple[int, int]]:
+def hot_windows(run: str, width: int, bits: float, one_case: float | None = None,
+                barred: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int]]:
     """Unions of the windows of ``run`` with at least ``bits`` of Shannon entropy (``one_case``
-    where a window has digits and no letters of both cases), by incremental counts:
+    where a window has digits and no letters of both cases) that overlap nothing
+    ``barred``, by incremental counts:
     H = log2(width) - sum(c * log2(c)) / width."""
     term = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]  # one enters before one leaves
     count: dict[str, int] = {}
     total, out = 0.0, []
-    upper = lower = digit = -1  # places of the last of each kind
+    upper = lower = digit = bar = -1  # places of the last of each kind
+    closed = {i for a, b in barred for i in range(a, b)}
     for i, ch in enumerate(run):
+        if i in closed:
+            bar = i
         if "A" <= ch <= "Z":
             upper = i
         elif "a" <= ch <= "z":
@@ -87,7 +97,7 @@ def hot_windows(run: str, width: int, bits: float, one_case: float | None = None
             count[gone] = c - 1
         lo = i - width + 1
         need = bits if one_case is None or digit < lo or min(upper, lower) >= lo else one_case
-        if lo >= 0 and math.log2(width) - total / width >= need - 1e-9:
+        if lo > bar and lo >= 0 and math.log2(width) - total / width >= need - 1e-9:
             if out and lo <= out[-1][1]:
                 out[-1] = (out[-1][0], i + 1)
             else:
@@ -95,15 +105,21 @@ def hot_windows(run: str, width: int, bits: float, one_case: float | None = None
     return out
 
 
+def allowed(run: str) -> list[tuple[int, int]]:
+    """The words of ``run`` that the allow-list excuses, and its UUIDs."""
+    low = run.lower()
+    out = [m.span() for m in UUID.finditer(run)]
+    if any(a in low for a in ALLOWED):
+        out += [m.span() for m in _WORD.finditer(run) if any(a in low[m.start():m.end()] for a in ALLOWED)]
+    return out
+
+
 def entropy_spans(text: str) -> list[Span]:
     found: list[tuple[int, int]] = []
     for name, (pattern, width, bits) in CLASSES.items():
         for m in pattern.finditer(text):
             run = m.group()
-            low = run.lower()
-            if any(a in low for a in ALLOWED) or UUID.fullmatch(run):
-                continue
-            hot = hot_windows(run, width, bits, ONE_CASE_BITS if name == "base64" else None)
+            hot = hot_windows(run, width, bits, ONE_CASE_BITS if name == "base64" else None, allowed(run))
             found += [(m.start() + a, m.start() + b) for a, b in hot]
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):

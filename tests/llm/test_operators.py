@@ -180,6 +180,18 @@ def test_secrets_of_one_case():
         assert not secretscan.entropy_spans(plain)
 
 
+def test_secrets_beside_neighbours():
+    run, digits = "aB3dE5fG7hI9jK1lM2nO4pQ6rS8t", "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B"
+    uuid = "550e8400-e29b-41d4-a716-446655440000"
+    for before, key, after in (("example_key=", run, ""), ("/example/v1/", run, ""), ("", run, "_example"), ("SIG=", digits, ""),
+                               ("sig=", digits[:20].lower(), ""), ("v1_", digits[:22], "/x"), (f"id={uuid}/", run, "")):
+        text = before + key + after
+        spans = secretscan.entropy_spans(text)
+        assert any(a <= len(before) and b >= len(before) + len(key) for _, a, b in spans), text
+    for plain in (f"id={uuid}", f"/v1/{uuid}", "key=example" + run, "dummy" + digits, f"x={run[:12]}={run[12:]}"):
+        assert not secretscan.entropy_spans(plain), plain
+
+
 def test_langid(spark):
     net = langid.ByteNet(["a", "b"])
     x = np.random.default_rng(0).integers(0, 256, (5, langid.WINDOW)).astype(np.uint8)
