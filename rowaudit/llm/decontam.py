@@ -4,15 +4,18 @@ Texts are lower-cased and split into runs of letters, digits and underscores.  E
 of ``min_match`` tokens gets a Karp-Rabin hash; those of the benchmark are the seeds.  A
 document's rolling hashes are looked up among the seeds, and every (document, item) pair
 that shares one is tiled: of the maximal common runs of unmarked tokens the longest is
-marked as a tile, again and again, until none has ``min_match`` tokens.  Tiles do not
-overlap, and they may be in any order, so a passage whose sentences were rearranged is
-covered as well.  A pair counts if its tiles cover at least ``coverage`` of the item.
+marked as a tile, again and again, until none has ``min_match`` tokens; then the tokens left
+over are tiled in the same way down to ``MIN_TILE`` tokens, no further from a seed than the
+item is long (so common word pairs elsewhere in a long document do not count).  Tiles do not
+overlap, and they may be in any order, so a passage whose sentences were rearranged, short
+ones too, is covered as well.  A pair counts if its tiles cover at least ``coverage`` of the
+item.  An item with fewer than ``min_match`` tokens is a seed as a whole.
 
 The documents are read once per block of benchmark items, in one map without a shuffle.
 A block holds at most ``BLOCK_TOKENS`` tokens (about 32 MB of seeds); a larger benchmark
 is worked in more blocks.  Documents never meet in one task or on the driver.
 
-Defined cases: null and empty texts match nothing; items with fewer than ``min_match``
+Defined cases: null and empty texts match nothing; items with fewer than ``MIN_TILE``
 tokens match nothing; very long texts are hashed in pieces of 1 MB; repeated rows give
 repeated results; items that are repeated give one row each; empty tables give empty
 results (and documents without a benchmark are all clean).
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MIN_MATCH, COVERAGE = 5, 0.8
+MIN_MATCH, MIN_TILE, COVERAGE = 5, 2, 0.8
 BLOCK_TOKENS = 1_000_000
 _PIECE = 1 << 20
 _WORD_BASE, _GRAM_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -140,32 +143,23 @@ def tile(hits: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
     return tiles
 
 
-class Matcher:
-    """The seeds of one block of benchmark items."""
+class Seeds:
+    """The runs of ``width`` tokens of many items, sorted by hash, with their item and place."""
 
-    def __init__(self, items: list[tuple], min_match: int, coverage: float) -> None:
-        self.width, self.coverage = min_match, coverage
-        self.hasher = Hasher()
-        self.ids, self.sizes, grams, owner, place = [], [], [], [], []
-        for item_id, text in items:
-            t = self.hasher.tokens(normal(text))
-            g = rolling(t, min_match)
-            grams.append(g)
-            owner.append(np.full(len(g), len(self.ids), np.int32))
-            place.append(np.arange(len(g), dtype=np.int32))
-            self.ids.append(item_id)
-            self.sizes.append(len(t))
-        g = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+    def __init__(self, items: list[tuple[int, np.ndarray]], width: int) -> None:
+        self.width = width
+        grams = [rolling(t, width) for _, t in items]
+        g = np.concatenate(grams)
         order = np.argsort(g, kind="stable")
         self.grams = g[order]
-        self.owner = np.concatenate(owner)[order] if grams else np.empty(0, np.int32)
-        self.place = np.concatenate(place)[order] if grams else np.empty(0, np.int32)
+        self.owner = np.concatenate([np.full(len(x), i, np.int32) for (i, _), x in zip(items, grams)])[order]
+        self.place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in grams])[order]
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.grams >> np.uint64(44)).astype(np.int64)] = True
 
-    def match(self, text: str | None) -> list[tuple]:
-        """(item id, item tokens, covered tokens, tiles) of the items that the text covers."""
-        g = rolling(self.hasher.tokens(normal(text)), self.width)
+    def hits(self, tokens: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """(document position, item position) of the common runs, by item."""
+        g = rolling(tokens, self.width)
         at = np.flatnonzero(self.sieve[(g >> np.uint64(44)).astype(np.int64)])
         lo = np.searchsorted(self.grams, g[at], "left")
         hi = np.searchsorted(self.grams, g[at], "right")
@@ -173,18 +167,60 @@ class Matcher:
         for d, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
             for k in range(a, b):
                 hits.setdefault(int(self.owner[k]), []).append((d, int(self.place[k])))
+        return hits
+
+
+class Matcher:
+    """The seeds of one block of benchmark items."""
+
+    def __init__(self, items: list[tuple], min_match: int, coverage: float) -> None:
+        self.coverage, self.hasher = coverage, Hasher()
+        self.ids = [i for i, _ in items]
+        self.tokens = [self.hasher.tokens(normal(text)) for _, text in items]
+        by_width: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for i, t in enumerate(self.tokens):
+            if len(t) >= min(MIN_TILE, min_match):
+                by_width.setdefault(min(min_match, len(t)), []).append((i, t))
+        self.seeds = [Seeds(some, width) for width, some in sorted(by_width.items())]
+
+    def _tiles(self, doc: np.ndarray, item: np.ndarray, pairs: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
+        """The tiles of a pair from its seed hits, or none if they cannot cover enough."""
+        n, need = len(item), self.coverage * len(item) - 1e-9
+        short = min(MIN_TILE, width)
+        near = np.zeros(len(doc) + 1, np.int64)  # document tokens no further from a seed than the item is long
+        at = np.array([d for d, _ in pairs])
+        np.add.at(near, np.maximum(at - n, 0), 1)
+        np.add.at(near, np.minimum(at + width + n, len(doc)), -1)
+        grams = rolling(doc, short)
+        at = np.flatnonzero(np.cumsum(near)[:len(grams)] > 0)
+        mine = rolling(item, short)
+        found = np.flatnonzero(np.isin(mine, grams[at]))
+        reach = np.zeros(n, bool)  # no tiling covers more than these
+        for k in range(short):
+            reach[found + k] = True
+        if reach.sum() < need:
+            return []
+        tiles = tile(pairs, width)
+        free_doc, free_item = np.ones(len(doc), bool), np.ones(n, bool)
+        for d, i, k in tiles:
+            free_doc[d:d + k] = free_item[i:i + k] = False
+        at = at[np.all([free_doc[at + k] for k in range(short)], axis=0)]
+        found = found[np.all([free_item[found + k] for k in range(short)], axis=0)]
+        places: dict[int, list[int]] = {}
+        for i in found.tolist():
+            places.setdefault(int(mine[i]), []).append(i)
+        at = at[np.isin(grams[at], mine[found])]
+        tiles += tile([(d, i) for d in at.tolist() for i in places[int(grams[d])]], short)
+        return tiles if sum(k for _, _, k in tiles) >= need else []
+
+    def match(self, text: str | None) -> list[tuple]:
+        """(item id, item tokens, covered tokens, tiles) of the items that the text covers."""
+        doc = self.hasher.tokens(normal(text))
+        hits = {i: (pairs, s.width) for s in self.seeds for i, pairs in s.hits(doc).items()}
         out = []
-        for item, pairs in sorted(hits.items()):
-            need = self.coverage * self.sizes[item]
-            reach = np.zeros(self.sizes[item] + 1, np.int32)  # no tiling covers more than the seeds touch
-            for _, i in set((0, i) for _, i in pairs):
-                reach[i:i + self.width] = 1
-            if reach.sum() + 1e-9 < need:
-                continue
-            tiles = tile(pairs, self.width)
-            covered = sum(n for _, _, n in tiles)
-            if covered + 1e-9 >= need:
-                out.append((self.ids[item], self.sizes[item], covered, tiles))
+        for item, (pairs, width) in sorted(hits.items()):
+            if tiles := self._tiles(doc, self.tokens[item], pairs, width):
+                out.append((self.ids[item], len(self.tokens[item]), sum(k for _, _, k in tiles), tiles))
         return out
 
 

@@ -123,6 +123,16 @@ def test_tiling():
     assert not m.match("a b c d e f") and not m.match(None)
 
 
+def test_tiling_of_short_sentences():
+    text = "One two three four five six seven. Eight nine ten. Blue red. Ant bee cat dog. Sun moon star sky."
+    m = decontam.Matcher([(1, text), (2, "just three words"), (3, "alone")], 5, 0.8)
+    turned = " ".join(text.split(". ")[::-1])
+    assert [(f[0], f[2]) for f in m.match(turned)] == [(1, 20)]
+    far = " ".join(f"w{i}" for i in range(100))
+    assert not m.match(f"{text.split('.')[0]}. {far} Sun moon star sky. Ant bee cat dog. Blue red. Eight nine ten.")
+    assert [f[0] for f in m.match("these are just three words alone")] == [2]
+
+
 def test_leaks(spark):
     items = {r.item_id: " ".join(re.findall(r"\w+", r.text.lower())) for r in table(spark, SF001, "benchmark").collect()}
     leaks = {(r.doc_id, r.item_id) for r in QUERIES["op1_string_tiling"](spark, SF001).collect()}
