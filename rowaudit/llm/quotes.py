@@ -17,7 +17,8 @@ announces them.
 Nothing is collected per conversation.  Positions are sums of counts: per (conversation,
 turn) after map-side combine, in blocks of 1,024 turns, and inside one turn in 64 hash
 groups; so a conversation with a third of all rows is numbered by many tasks.  Passages
-are joined to the first occurrence only, one row per hash.
+are joined to the first occurrence only, one row per hash, and where that is in the quoting
+conversation itself, to the first one in any other conversation.
 
 Defined cases: null and empty texts say and quote nothing; rows equal in conversation,
 turn, role and text are one message (same position, all rows stay); a null turn comes
@@ -95,12 +96,16 @@ def link_passages(msgs: DataFrame) -> DataFrame:
     said = msgs.select("conv", "turn", F.explode(_said(own_text(F.col("text")))).alias("hash")).join(wanted, "hash", "left_semi")
     here = staged(said.groupBy("conv", "hash").agg(F.min("turn").alias("here")), "said")
     ever = here.groupBy("hash").agg(F.min(F.struct("conv", F.col("here").alias("turn"))).alias("ever"))
+    # the first in another conversation, for hashes whose first one quotes them
+    again = quoted.select("hash", "conv").join(ever, "hash").where(F.col("ever.conv").eqNullSafe(F.col("conv"))).select("hash", "ever")
+    rest = here.join(again.distinct(), "hash").where(~F.col("ever.conv").eqNullSafe(F.col("conv")))
+    ever = ever.join(rest.groupBy("hash").agg(F.min(F.struct("conv", F.col("here").alias("turn"))).alias("next")), "hash", "left")
     here = here.withColumnRenamed("conv", "c2")
     got = quoted.join(here, (quoted["hash"] == here["hash"]) & quoted["conv"].eqNullSafe(here["c2"]), "left").drop(here["hash"]).drop("c2")
     got = got.join(ever, "hash", "left")
     same = F.when(F.col("here") < F.col("turn"), F.struct(F.col("rank"), F.lit(0).alias("far"), F.col("conv"), F.col("here").alias("turn")))
-    other = F.when(~F.col("ever.conv").eqNullSafe(F.col("conv")),
-                   F.struct(F.col("rank"), F.lit(1).alias("far"), F.col("ever.conv").alias("conv"), F.col("ever.turn").alias("turn")))
+    far = F.when(F.col("ever.conv").eqNullSafe(F.col("conv")), F.col("next")).otherwise(F.col("ever"))
+    other = F.when(far.isNotNull(), F.struct(F.col("rank"), F.lit(1).alias("far"), far["conv"].alias("conv"), far["turn"].alias("turn")))
     best = got.groupBy(*KEYS, "passage", "level").agg(F.min(F.coalesce(same, other)).alias("to"))
     return best.select(*KEYS, "passage", "level", F.col("to.rank").alias("rank"), F.col("to.far").alias("far"),
                        F.col("to.conv").alias("to_conv"), F.col("to.turn").alias("to_turn"))

@@ -229,6 +229,17 @@ def test_quotes(spark):
     assert sorted(r.position for r in quotes.format_chats(d.where("conv_id = 1")).collect()) == [0, 1, 2, 3]
 
 
+def test_quotes_of_shared_passages(spark):
+    said = "This passage is said by many."
+    rows = [(2, 3, "u", said), (3, 1, "u", said), (1, 0, "a", f"> {said}\nyes"), (1, 5, "u", said), (1, 7, "a", f"> {said}\nagain"),
+            (4, 2, "a", f"> {said}\nfour"), (5, 0, "a", "> Only here it is said.\nno"), (5, 1, "u", "Only here it is said."),
+            (None, 1, "a", "> Nobody said it in two.\nnull"), (None, 4, "u", "Nobody said it in two."), (9, 2, "u", "Nobody said it in two.")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv, r.turn): (r.n_linked, r.parent_conv, r.parent_turn) for r in quotes.format_chats(d).collect()}
+    assert got[1, 0] == (1, 2, 3) and got[1, 7] == (1, 1, 5) and got[4, 2] == (1, 1, 5)
+    assert got[5, 0] == (0, None, None) and got[None, 1] == (1, 9, 2)
+
+
 def test_edges(spark, edge):
     n = len(EDGE)
     w = quality.fit_weights(edge, edge.limit(0))
