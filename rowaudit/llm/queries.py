@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowaudit.llm import decontam, kdshard, langid, mixing, quality, quotes, secretscan, simhash, unitdedup, urlrules
+from rowaudit.llm import decontam, kdshard, langid, mixing, quality, quotes, search, secretscan, simhash, unitdedup, urlrules
 from rowaudit.llm.common import table
 
 QUERIES = {}
@@ -133,3 +133,24 @@ def op4(spark, sf_dir):
     msgs = msgs.withColumn("own_md5", F.md5(quotes.own_text(F.col("text"))))
     return quotes.reply_order(msgs, ("own_md5",)).select(
         F.col("conv").alias("conv_id"), "turn", "role", "own_md5", "position", "parent_conv", "parent_turn", "n_quotes", "n_linked")
+
+
+@register("op11_lexical_search", r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+           FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM benchmark),
+s AS (SELECT CAST(count(*) FILTER (len(t) > 0) AS BIGINT) AS n_all, CAST(sum(len(t)) AS BIGINT) AS l_all FROM d),
+e AS (SELECT r, unnest(t) AS term FROM d),
+f AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM e WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_all + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term, n_all),
+c AS (SELECT q.item_id, d.r, d.doc_id, CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (10 + (90 * len(d.t) * n_all) // l_all)))) AS BIGINT) AS score
+      FROM f JOIN w USING (term) JOIN q USING (term) JOIN d USING (r), s GROUP BY q.item_id, d.r, d.doc_id),
+k AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank
+      FROM c WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+""")
+def op11(spark, sf_dir):
+    found = search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
