@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowaudit.llm import decontam, kdshard, langid, mixing, quality, quotes, search, secretscan, simhash, unitdedup, urlrules
+from rowaudit.llm import chatrepair, decontam, kdshard, langid, mixing, quality, quotes, search, secretscan, simhash, unitdedup, urlrules
 from rowaudit.llm.common import table
 
 QUERIES = {}
@@ -154,3 +154,86 @@ SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
 def op11(spark, sf_dir):
     found = search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+def damaged(chats):
+    """The faults of the contract, dealt by crc32 of conversation and turn."""
+    at = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hit = F.crc32(F.concat(at("conv_id"), F.lit(":"), at("turn"))) % 20
+    text = F.when(hit == 1, "").when(hit == 2, F.regexp_replace(at("text"), "[.!?]", "")).otherwise(at("text"))
+    role = F.when(hit == 4, "user").otherwise(at("role"))
+    copies = F.array_repeat(F.lit(1), F.when(hit == 3, 2).otherwise(1))
+    return chats.where(hit != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def _op12_sql() -> str:
+    """Backward steps over the states 1 to 4 (nothing yet, after s, after u, after a); v holds, by
+    state, the cost, the audit and the text of the cheapest repair of what is left."""
+    due = {1: (3, "user"), 2: (3, "user"), 3: (4, "assistant"), 4: (3, "user")}
+    keeps = {1: {"s": 2, "u": 3}, 2: {"u": 3}, 3: {"a": 4}, 4: {"u": 3}}
+
+    def edit(cost, letter, line, rest):
+        text = f"v[{rest}].o" if line is None else f"{line} || v[{rest}].o"
+        return f"{{'c': v[{rest}].c + {cost}, 'a': '{letter}' || v[{rest}].a, 'o': {text}}}"
+
+    def plain(q):
+        extra, (to, name) = "(f = 2)::INT", due[q]
+        deleted = edit(3, "D", None, q)
+        renamed = edit(f"2 + {extra}", "R", f"chr(10) || '{name}:' || m.t", to)
+        keep = "".join(f"WHEN m.i = '{i}' THEN [{edit(extra, 'K', "chr(10) || m.r || ':' || m.t", p)}] " for i, p in keeps[q].items())
+        return f"list_min([{deleted}] || CASE WHEN f = 0 THEN [] ELSE [{renamed}] || CASE {keep}ELSE [] END END)"
+
+    def inserted(q):
+        (to, name), (to2, name2) = due[q], due[due[q][0]]
+        one = f"{{'c': v[{to}].c + 2, 'a': 'I' || v[{to}].a, 'o': chr(10) || '{name}:' || v[{to}].o}}"
+        two = f"{{'c': v[{to2}].c + 4, 'a': 'II' || v[{to2}].a, 'o': chr(10) || '{name}:' || chr(10) || '{name2}:' || v[{to2}].o}}"
+        return f"list_min([v[{q}], {one}, {two}])"
+
+    end = "[{'c': 0, 'a': '', 'o': ''}, {'c': 4, 'a': 'II', 'o': chr(10) || 'user:' || chr(10) || 'assistant:'}, " \
+          "{'c': 2, 'a': 'I', 'o': chr(10) || 'assistant:'}, {'c': 0, 'a': '', 'o': ''}]"
+    return rf"""
+WITH RECURSIVE x AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295::BIGINT, list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+      lambda c: ascii(c)::BIGINT), lambda s, b: list_reduce(list_concat([xor(s, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END), 4294967295::BIGINT)) % 20 AS hit
+  FROM conversations),
+r AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS r,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS t,
+    unnest(CASE WHEN hit = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM x WHERE hit <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t, copy) AS pos,
+        row_number() OVER (PARTITION BY conv_id, r, t ORDER BY turn NULLS FIRST, copy) AS said FROM r),
+f AS (SELECT conv_id, turn, pos, r, t, left(r, 1) AS i, t = '' OR NOT regexp_matches(t, '[^\x20\x09-\x0D]') AS blank, said > 1 AS again,
+        right(rtrim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') AS cut FROM n),
+g AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        list({{'i': i, 'r': r, 't': t, 'f': CASE WHEN blank OR again THEN 0 WHEN cut THEN 2 ELSE 1 END}} ORDER BY pos) AS m,
+        count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+        count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated FROM f GROUP BY conv_id),
+b AS (
+  SELECT conv_id, m AS ms, n AS pos, {end} AS v FROM g
+  UNION ALL
+  SELECT conv_id, ms, pos - 1, [{", ".join(inserted(q) for q in (1, 2, 3, 4))}] FROM (
+    SELECT conv_id, ms, pos, [{", ".join(plain(q) for q in (1, 2, 3, 4))}] AS v
+    FROM (SELECT conv_id, ms, pos, v, ms[pos] AS m, ms[pos].f AS f FROM b WHERE pos > 0))),
+s AS (SELECT conv_id, v[1] AS best FROM b WHERE pos = 0),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(len(list_filter(range(1, n), lambda k: m[k].i || m[k + 1].i NOT IN ('su', 'ua', 'au'))), 0) AS BIGINT) AS illegal,
+  CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.o, 2), '')) AS repaired_sha256
+FROM c LEFT JOIN g ON c.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN s ON c.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
+
+@register("op12_chat_repair", _op12_sql())
+def op12(spark, sf_dir):
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = chatrepair.repair(damaged(chats))
+    ids = chats.select(F.col("conv_id").alias("conv")).distinct().alias("i")
+    got = ids.join(fixed.summary.alias("s"), F.col("i.conv").eqNullSafe(F.col("s.conv")), "left").join(
+        chatrepair.digests(fixed).alias("d"), F.col("i.conv").eqNullSafe(F.col("d.conv")), "left")
+    longs = [F.coalesce(f"s.{c}", F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return got.select(F.col("i.conv").alias("conv_id"), *longs, F.coalesce("s.audit", F.lit("")).alias("audit"),
+                      F.coalesce("d.sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))

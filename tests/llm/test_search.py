@@ -49,7 +49,7 @@ def test_search_is_brute_force(spark):
 
 
 def test_search_in_blocks(spark):
-    assert _run(spark, DOCS, ITEMS, block_terms=2000) == sorted(brute(DOCS, ITEMS, 10), key=str)
+    assert _run(spark, DOCS, ITEMS, block_terms=40_000) == sorted(brute(DOCS, ITEMS, 10), key=str)
 
 
 def test_search_empty_tables(spark):
