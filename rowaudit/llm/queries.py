@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowaudit.llm import chatrepair, decontam, kdshard, langid, mixing, quality, quotes, search, secretscan, simhash, unitdedup, urlrules
+from rowaudit.llm import chatrepair, decontam, kdshard, langid, mixing, pii, quality, quotes, search, secretscan, simhash, unitdedup, urlrules
 from rowaudit.llm.common import table
 
 QUERIES = {}
@@ -237,3 +237,9 @@ def op12(spark, sf_dir):
     longs = [F.coalesce(f"s.{c}", F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return got.select(F.col("i.conv").alias("conv_id"), *longs, F.coalesce("s.audit", F.lit("")).alias("audit"),
                       F.coalesce("d.sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@register("op13_pii")
+def op13(spark, sf_dir):
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "n_found")
