@@ -92,3 +92,22 @@ def test_grid_knn_matches_brute_force(spark):
         want = np.sort(d[i])[:7]
         have = np.sort(got[got.row_id == i].dist.to_numpy())
         assert np.allclose(have, want, rtol=0, atol=1e-12)
+
+
+def test_one_class_svm_is_one_model_under_any_partitioning(spark):
+    g = _gauss(spark, 1500)
+    scores = []
+    for parts in (1, 13):
+        d = g.repartition(parts)
+        scores.append(svm.score(d, svm.fit(d, COLS, nu=0.1), "s").orderBy("row_id").toPandas().s.to_numpy())
+    assert np.allclose(*scores, rtol=0, atol=1e-9)
+    assert (scores[0] > 1e-12).sum() == 150  # a nu share lies outside
+
+
+def test_one_class_svm_sums_cover_every_row(spark):
+    """The cells' weights are those of all rows: a heavy value far from the landmarks counts."""
+    rng = np.random.default_rng(5)
+    X = np.vstack([rng.normal(size=(400, 2)), np.tile([[6.0, 6.0]], (600, 1))])
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(X)], "row_id long, a double, b double")
+    s = svm.score(df, svm.fit(df, ["a", "b"], landmarks=16), "s").toPandas().sort_values("row_id").s.to_numpy()
+    assert s[400:].max() < np.median(s[:400])
