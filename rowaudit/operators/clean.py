@@ -18,7 +18,6 @@ from rowaudit.operators.rules import numeric_value
 # Rows per fill bucket (one task sorts at most this many rows).
 FILL_BUCKET = 1_000_000
 # Distinct categories allowed for one-hot columns (it widens the schema).
-ONE_HOT_LIMIT = 1_000
 
 
 def coerce_median_impute(df: DataFrame, cols: list[str], zero_if_empty: bool = False) -> DataFrame:
@@ -135,24 +134,32 @@ def ranked_sorted(df: DataFrame, col: str, name: str = "rank", partitions: int |
         .drop("_pid", "_mid", "_off")
 
 
-def categories(df: DataFrame, col: str, limit: int = ONE_HOT_LIMIT) -> list[str]:
+def categories(df: DataFrame, col: str) -> list[str]:
+    """The distinct values as sorted text.  They become columns, so the caller asks for a schema of
+    that size; see ``one_hot_rows`` for columns with many values."""
     vals = df.where(F.col(col).isNotNull()).select(F.col(col).cast("string").alias("v")).distinct()
-    got = vals.orderBy("v").limit(limit + 1).collect()
-    if len(got) > limit:
-        raise ValueError(f"{col}: more than {limit} categories; one-hot would explode the schema")
-    return [r[0] for r in got]
+    return [r[0] for r in vals.orderBy("v").collect()]
 
 
 def one_hot(df: DataFrame, col: str, keep: bool = False) -> DataFrame:
     """One 0/1 column per category (sorted), none dropped; null -> all zeros."""
-    cats = categories(df, col)
     s = F.col(col).cast("string")
-    out = df
-    for v in cats:
-        out = out.withColumn(f"{col}_{v}", F.when(s == v, 1).otherwise(0).cast("int"))
+    out = df.select("*", *[F.when(s == v, 1).otherwise(0).cast("int").alias(f"{col}_{v}") for v in categories(df, col)])
     return out if keep else out.drop(col)
 
 
+def one_hot_rows(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The same as sparse rows for any number of values: (row_id, column, category, position), the
+    place of the 1 among all values of the columns, in order of column, then value; a null has none."""
+    long = df.select("row_id", F.posexplode(F.array(*[F.col(c).cast("string") for c in cols])).alias("_c", "category")).where("category is not null")
+    # ranked as texts that sort like (column, value)
+    key = F.concat(F.format_string("%06d", "_c"), F.lit("\0"), F.col("category"))
+    place = ranked_sorted(long.select(key.alias("_key")).distinct(), "_key", "_rank")
+    names = F.array(*[F.lit(c) for c in cols])
+    return long.withColumn("_key", key).join(place, "_key").select("row_id", F.get(names, F.col("_c")).alias("column"), "category",
+                                                                   (F.col("_rank") - 1).alias("position"))
+
+
 def standard_scale(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     """(x - mean)/population sd; sd 0 -> divide by 1."""
     row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in cols],
@@ -201,5 +208,5 @@ def prepare_table(df: DataFrame, types: dict[str, str] | None = None) -> DataFra
 
 
 __all__ = ["coerce_median_impute", "mode_impute", "text_fill_empty", "ffill_bfill", "text_features",
-           "minmax_normalize", "category_codes", "one_hot", "standard_scale", "select_features",
+           "minmax_normalize", "category_codes", "one_hot", "one_hot_rows", "standard_scale", "select_features",
            "clean_nonfinite", "prepare_table", "strict_double"]

@@ -1231,13 +1231,11 @@ def q_canary_gbt(spark, sf):
 
 @register("top_loss_rows")
 def q_top_loss_rows(spark, sf):
-    from rowaudit.operators.audit import (_lr, index_labels, out_of_fold, tabular_matrix, top_loss_rows,
-                                          with_loss)
-    from rowaudit.operators.rows import stratified_folds
+    from rowaudit.operators.audit import index_labels, logistic_out_of_fold, sparse_rows, top_loss_rows, with_loss
+    from rowaudit.session import cut_lineage
     d, labels = index_labels(orders(spark, sf), "o_orderstatus")
-    d, _ = tabular_matrix(d, ORDER_AUDIT_FEATURES, ORDER_AUDIT_TYPES)
-    d = stratified_folds(d, "o_orderstatus", 5)
-    scored = with_loss(out_of_fold(d, 5, lambda tr: _lr(tr, True), weighted=True))
+    design = sparse_rows(d, ORDER_AUDIT_FEATURES, ORDER_AUDIT_TYPES, "o_orderstatus")
+    scored = cut_lineage(with_loss(logistic_out_of_fold(design, "o_orderstatus", len(labels), 5)))
     return top_loss_rows(scored, labels, 20)
 
 
