@@ -10,8 +10,9 @@ running sum over at most 16,384 bins per node finds the bin that holds the cut,
 bin is split again between the least and the greatest position in it, until it is light or
 holds one position.  Only one row per node reaches the driver; no task sorts the table.
 
-Positions along a dimension are 63-bit integers: 20 bits of the scaled value, 31 bits of a
-hash of id and text, 12 bits that tell equal rows apart.  So a value that holds a third of
+Texts (source, language, ids that are no numbers) are dimensions by the rank of their distinct
+values.  Positions along a dimension are 63-bit integers: 20 bits of the scaled value, 31 bits of
+a hash of id and text, 12 bits that tell equal rows apart.  So a value that holds a third of
 all rows, or thousands of equal rows, is divided as finely as any other.
 
 Slots number the documents of a shard from 0 without gaps, in id order inside hash
@@ -32,7 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowaudit.llm.common import staged
+from rowaudit.llm.common import fresh, staged
+from rowaudit.operators.clean import ranked_sorted
 
 ROW_BYTES = 8
 KEY_BITS, VALUE_BITS, BIN_BITS = 63, 20, 14
@@ -51,19 +53,28 @@ def text_crc(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit(""))).cast("long")
 
 
-def _prefix(c: Column) -> Column:
-    """A string's first six bytes as a number, in byte order; null below all."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
-
-
 def dimensions(docs: DataFrame, text: str, key: str) -> dict[str, Column]:
-    """Numbers by which documents are told apart: size, source, language, id.
+    """What documents are told apart by: size, source, language, id; numbers or texts.
     Columns that ``docs`` lacks are left out."""
     dims = {"size": F.log(text_bytes(F.col(text)).cast("double"))}
-    dims |= {c: _prefix(F.col(c).cast("string")) for c in ("source", "lang") if c in docs.columns}
-    kind = docs.schema[key].dataType
-    dims["id"] = F.coalesce(F.col(key).cast("double"), F.lit(-1.0)) if isinstance(kind, T.NumericType) else _prefix(F.col(key).cast("string"))
-    return dims
+    dims |= {c: F.col(c).cast("string") for c in ("source", "lang") if c in docs.columns}
+    numeric = isinstance(docs.schema[key].dataType, T.NumericType)
+    return dims | {"id": F.coalesce(F.col(key).cast("double"), F.lit(-1.0)) if numeric else F.col(key).cast("string")}
+
+
+def value_ranks(meta: DataFrame) -> dict[str, DataFrame]:
+    """For each text dimension ``s<i>`` the rank of its distinct values from 0, as (s<i>, d<i>): a
+    range partitioning with offsets, so no task sorts them all."""
+    return {c: staged(ranked_sorted(meta.where(F.col(c).isNotNull()).select(c).distinct(), c, "_rank").select(
+        c, (F.col("_rank") - 1).cast("double").alias("d" + c[1:])), "ranks") for c in meta.columns if c[0] == "s" and c[1:].isdigit()}
+
+
+def with_ranks(rows: DataFrame, ranks: dict[str, DataFrame]) -> DataFrame:
+    """``rows`` with the rank in place of each text dimension; null lies below all."""
+    for c, table in ranks.items():
+        d = "d" + c[1:]
+        rows = rows.join(table, c, "left").drop(c).withColumn(d, F.coalesce(d, F.lit(-1.0)))
+    return rows
 
 
 def _positions(low: list[float], high: list[float]) -> dict[str, Column]:
@@ -138,12 +149,18 @@ class Tree:
 def _columns(docs: DataFrame, text: str, key: str) -> list[Column]:
     return [F.col(key).alias("id"), F.xxhash64(text).alias("tie"), text_bytes(F.col(text)).alias("size"),
             text_crc(F.col(text)).alias("crc"), F.monotonically_increasing_id().alias("mid"),
-            *[c.alias(f"d{i}") for i, c in enumerate(dimensions(docs, text, key).values())]]
+            *[c.alias(f"{'ds'[_is_text(docs, name, key)]}{i}") for i, (name, c) in enumerate(dimensions(docs, text, key).items())]]
+
+
+def _is_text(docs: DataFrame, name: str, key: str) -> bool:
+    return name in ("source", "lang") or name == "id" and not isinstance(docs.schema[key].dataType, T.NumericType)
 
 
-def metadata(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One staged row of numbers per row of ``docs``."""
-    return staged(docs.select(*_columns(docs, text, key)), "metadata")
+def metadata(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, dict[str, DataFrame]]:
+    """One staged row of numbers per row of ``docs``, and the ranks of the text dimensions."""
+    raw = staged(docs.select(*_columns(docs, text, key)), "metadata")
+    ranks = value_ranks(raw)
+    return (staged(with_ranks(raw, ranks), "metadata") if ranks else raw), ranks
 
 
 def _step(rows: DataFrame, split: list[tuple], n_dims: int) -> DataFrame:
@@ -159,7 +176,7 @@ def _start(meta: DataFrame, low: list[float], high: list[float]) -> DataFrame:
 
 def fit_tree(meta: DataFrame, *, target_bytes: int | None = None, shards: int | None = None) -> Tree:
     """The tree over all rows of ``metadata``, for so many shards or for shards of so many bytes."""
-    names = [c for c in meta.columns if c[0] == "d" and c[1:].isdigit()]
+    names = sorted((c for c in meta.columns if c[0] == "d" and c[1:].isdigit()), key=lambda c: int(c[1:]))
     n_dims = len(names)
     whole = meta.agg(F.sum("size").alias("w"), *[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]).first()
     total = whole["w"] or 0
@@ -209,18 +226,20 @@ def with_slots(assigned: DataFrame) -> DataFrame:
 
 def shard_table(docs: DataFrame, *, shards: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, tie, mid, size, crc, shard, slot) per row of ``docs``."""
-    meta = metadata(docs, text, key)
+    meta, _ = metadata(docs, text, key)
     return with_slots(staged(route(meta, fit_tree(meta, shards=shards)), "assigned"))
 
 
 def shard_documents(docs: DataFrame, *, target_bytes: int | None = None, shards: int | None = None,
-                    text: str = "text", key: str = "doc_id") -> DataFrame:
-    """All rows and columns of ``docs`` plus ``shard`` (a clashing column is replaced).  The
-    documents are routed where they are read; no text is shuffled."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() == "shard"])
-    tree = fit_tree(metadata(docs, text, key), target_bytes=target_bytes, shards=shards)
+                    text: str = "text", key: str = "doc_id", name: str = "shard") -> DataFrame:
+    """All rows and columns of ``docs`` plus the shard, in column ``name`` (followed by ``_`` where
+    ``docs`` has such a column).  The documents are routed where they are read; Spark broadcasts the
+    ranks of source and language if they are few, and only joins a larger table by shuffle."""
+    (name,) = fresh(docs, name)
+    meta, ranks = metadata(docs, text, key)
+    tree = fit_tree(meta, target_bytes=target_bytes, shards=shards)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_columns(docs, text, key))
-    return route(rows, tree).select("row.*", "shard")
+    return route(with_ranks(rows, ranks), tree).select("row.*", F.col("shard").alias(name))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
