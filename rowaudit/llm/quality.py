@@ -1,11 +1,13 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and
 the raw corpus, plus simple base counts.  DataFrame functions only.
 
-Two passes over the texts, no text is shuffled:
+Two steps, each one pass over the texts:
 
 1. every word and word pair of every document is hashed into ``buckets`` bins and
-   counted, once for all documents (raw) and once for the trusted ones (target);
-   map-side combine leaves at most ``buckets`` rows per task;
+   counted, for all documents (raw) and for the trusted ones (target); map-side combine
+   leaves at most ``buckets`` rows per task.  All documents are counted without a join.  The
+   trusted ones are found by a Bloom filter of bounded size over their ids, and only the few
+   documents that pass it are joined with the ids;
 2. the log ratio of the two smoothed multinomials, a fixed-point long per bin, is
    an array constant of ``buckets`` entries; each document sums its bins and
    divides by its number of n-grams.
@@ -26,15 +28,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowaudit.llm.common import fresh, let, words
+from rowaudit.llm.common import fresh, let, staged, words
 
 BUCKETS = 1 << 14
 SCALE = 1 << 20
 THRESHOLD = -0.1
 #: Pseudo-count per bin; keeps rare bins of small corpora near ratio 0.
 PRIOR = 4.0
-#: Trusted ids up to this number (about 30 MB as a hash table) are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Bits of the filter over the trusted ids (4 MB).
+MAX_FILTER_BITS = 1 << 25
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 
@@ -75,26 +77,50 @@ def grams(docs: DataFrame, text: str, keep: list[str], prefix: str = "_q") -> Da
     return df.withColumn(p, _pairs(F.col(h), 1))
 
 
+def _slots(id_: Column, bits: int) -> list[Column]:
+    """The places of an id in the filter."""
+    return [F.pmod(F.xxhash64(id_, F.lit(i)), F.lit(bits)) for i in range(2)]
+
+
+def id_filter(ids: DataFrame, column: str) -> list[int]:
+    """A Bloom filter over the ids as 64-bit words: eight bits an id, ``MAX_FILTER_BITS`` at most
+    (beyond that more documents pass that are not meant; the join after it is exact)."""
+    bits = min(MAX_FILTER_BITS, max(1 << 16, 1 << (8 * ids.count()).bit_length()))
+    place = ids.select(F.explode(F.array(*_slots(F.col(column), bits))).alias("s"))
+    words = place.groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("x"))
+    out = [0] * (bits // 64)
+    for w, x in words.collect():
+        out[w] = x
+    return out
+
+
+def in_filter(id_: Column, words: list[int]) -> Column:
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    one, two = (F.getbit(F.get(table, F.shiftright(s, 6).cast("int")), (s % 64).cast("int")) == 1 for s in _slots(id_, 64 * len(words)))
+    return one & two
+
+
 def fit_weights(docs: DataFrame, trusted: DataFrame, *, text: str = "text", key: str = "doc_id",
                 buckets: int = BUCKETS) -> list[int]:
     """Fixed-point log ratio per bin.  ``trusted`` has the ids (column ``key``) of the
     target documents; statistics cover all documents and all trusted ones."""
-    ids = trusted.select(F.col(key).alias("_tid")).where(F.col("_tid").isNotNull()).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    flagged = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(
-        ids, F.col("_id") == F.col("_tid"), "left")
-    flagged = flagged.select("_text", F.col("_tid").isNotNull().cast("long").alias("_good"))
-    g = grams(flagged, "_text", ["_good"]).select("_good", F.explode(F.concat("_qh", "_qp")).alias("_g"))
-    rows = (g.groupBy(F.pmod("_g", F.lit(buckets)).cast("int").alias("b"))
-            .agg(F.count(F.lit(1)).alias("raw"), F.sum("_good").alias("good")).collect())  # at most `buckets` rows
-    n_raw, n_good = sum(r["raw"] for r in rows), sum(r["good"] for r in rows)
+    ids = staged(trusted.select(F.col(key).alias("_tid")).where(F.col("_tid").isNotNull()).distinct(), "trusted")
+    texts = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+
+    def counts(some: DataFrame) -> dict[int, int]:
+        g = grams(some, "_text", []).select(F.explode(F.concat("_qh", "_qp")).alias("_g"))
+        return dict(g.groupBy(F.pmod("_g", F.lit(buckets)).cast("int")).agg(F.count(F.lit(1))).collect())  # at most `buckets` rows
+
+    # the filter lets through the trusted documents and a few others; only those meet the ids in a join
+    maybe = texts.where(in_filter(F.col("_id"), id_filter(ids, "_tid")))
+    raw, good = counts(texts), counts(maybe.join(ids, F.col("_id") == F.col("_tid"), "left_semi"))
+    n_raw, n_good = sum(raw.values()), sum(good.values())
     weights = [0] * buckets
     if n_good:
         # pseudo-counts in proportion to both totals: a bin without data has ratio 0
         lift = n_raw / n_good
-        for r in rows:
-            ratio = math.log((r["good"] + PRIOR) * lift / (r["raw"] + PRIOR * lift))
-            weights[r["b"]] = round(ratio * SCALE)
+        for b, n in raw.items():
+            weights[b] = round(math.log((good.get(b, 0) + PRIOR) * lift / (n + PRIOR * lift)) * SCALE)
     return weights
 
 
