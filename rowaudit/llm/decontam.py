@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are lower-cased and split into runs of letters, digits and underscores.  Every run
+Texts are lower-cased and split into runs of letters, digits and underscores; in scripts without
+spaces (Han, kana, Thai and others) each letter is a token.  Every run
 of ``min_match`` tokens gets a Karp-Rabin hash; those of the benchmark are the seeds.  A
 document's rolling hashes are looked up among the seeds, and every (document, item) pair
 that shares one is tiled: of the maximal common runs of unmarked tokens the longest is
@@ -39,8 +40,17 @@ _WORD_BASE, _GRAM_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4
 _GAP = re.compile(r"\W+")
 
 
+#: Letters of scripts without spaces, each a token of its own: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
+_DENSE = re.compile("([\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+                    "\uff66-\uff9f\U00020000-\U0003ffff])")
+
+
 def normal(text: str | None) -> bytes:
-    return _GAP.sub(" ", (text or "").lower()).strip().encode()
+    """Lower-case tokens with single spaces between them."""
+    plain = _GAP.sub(" ", (text or "").lower())
+    if not plain.isascii() and _DENSE.search(plain):
+        plain = " ".join(_DENSE.sub(r" \1 ", plain).split())
+    return plain.strip().encode()
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -99,22 +109,46 @@ def rolling(tokens: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def tile(hits: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling from the seed hits (document position, item position): tiles as
-    (document position, item position, length), longest first, ties by position."""
-    by_diagonal: dict[int, list[int]] = {}
-    for d, i in hits:
-        by_diagonal.setdefault(d - i, []).append(d)
-    runs = []  # maximal runs: consecutive hits on a diagonal
-    for diagonal, at in by_diagonal.items():
-        at.sort()
-        first = last = at[0]
-        for d in at[1:]:
-            if d > last + 1:
-                runs.append((first, first - diagonal, last - first + width))
-                first = d
-            last = d
-        runs.append((first, first - diagonal, last - first + width))
+#: Seed hits that are held at once while runs are put together.
+_HITS = 1 << 20
+
+
+def common_runs(places: np.ndarray, grams: np.ndarray, items: np.ndarray, item_grams: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """The maximal runs of common tokens as (document position, item position, length), from the
+    grams of ``width`` tokens at ``places`` of the document (ascending) and at ``items`` of the item
+    (``item_grams`` ascending).  Hits are worked in blocks of document positions and joined along
+    their diagonals, so what is held is a row per run and not per hit."""
+    lo, hi = np.searchsorted(item_grams, grams, "left"), np.searchsorted(item_grams, grams, "right")
+    some = hi > lo
+    places, lo, many = places[some], lo[some], (hi - lo)[some]
+    ends = np.cumsum(many)
+    parts, at = [], 0
+    while at < len(places):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _HITS, "right")))
+        n = many[at:end]
+        d = np.repeat(places[at:end], n)
+        i = items[np.repeat(lo[at:end] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        order = np.lexsort((d, d - i))
+        d, diagonal = d[order], (d - i)[order]
+        new = np.append(True, (np.diff(diagonal) != 0) | (np.diff(d) > 1))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(d)) - 1
+        parts.append(np.stack([diagonal[first], d[first], d[last]]))
+        at = end
+    if not parts:
+        return []
+    diagonal, first, last = np.concatenate(parts, axis=1)
+    order = np.lexsort((first, diagonal))  # runs that go on in the next block are one
+    diagonal, first, last = diagonal[order], first[order], last[order]
+    new = np.flatnonzero(np.append(True, (np.diff(diagonal) != 0) | (first[1:] > last[:-1] + 1)))
+    stop = np.append(new[1:], len(first)) - 1
+    d, n = first[new], last[stop] - first[new] + width
+    return list(zip(d.tolist(), (d - diagonal[new]).tolist(), n.tolist()))
+
+
+def tile(runs: list[tuple[int, int, int]], width: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling from the maximal runs: tiles as (document position, item position, length),
+    longest first, ties by position."""
     in_doc: set[int] = set()
     in_item: set[int] = set()
     tiles = []
@@ -126,6 +160,8 @@ def tile(hits: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
         in_item.update(range(i, i + n))
         rest = []
         for d2, i2, n2 in runs[1:]:  # cut the other runs at marked tokens
+            if i <= i2 and i2 + n2 <= i + n or d <= d2 and d2 + n2 <= d + n:
+                continue
             if d2 + n2 <= d or d2 >= d + n:
                 if i2 + n2 <= i or i2 >= i + n:
                     rest.append((d2, i2, n2))
@@ -144,7 +180,7 @@ def tile(hits: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
 
 
 class Seeds:
-    """The runs of ``width`` tokens of many items, sorted by hash, with their item and place."""
+    """The runs of ``width`` tokens of many items, sorted by hash, with their item."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], width: int) -> None:
         self.width = width
@@ -153,21 +189,25 @@ class Seeds:
         order = np.argsort(g, kind="stable")
         self.grams = g[order]
         self.owner = np.concatenate([np.full(len(x), i, np.int32) for (i, _), x in zip(items, grams)])[order]
-        self.place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in grams])[order]
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.grams >> np.uint64(44)).astype(np.int64)] = True
 
-    def hits(self, tokens: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """(document position, item position) of the common runs, by item."""
+    def found(self, tokens: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """(document positions, grams there) of the common runs, by item."""
         g = rolling(tokens, self.width)
         at = np.flatnonzero(self.sieve[(g >> np.uint64(44)).astype(np.int64)])
         lo = np.searchsorted(self.grams, g[at], "left")
         hi = np.searchsorted(self.grams, g[at], "right")
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for d, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-            for k in range(a, b):
-                hits.setdefault(int(self.owner[k]), []).append((d, int(self.place[k])))
-        return hits
+        at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+        by_item: dict[int, list[int]] = {}
+        for a, b in sorted(set(zip(lo.tolist(), hi.tolist()))):  # of each distinct gram, the items that hold it
+            for item in set(self.owner[a:b].tolist()):
+                by_item.setdefault(item, []).append(a)
+        out = {}
+        for item, starts in by_item.items():
+            mine = at[np.isin(lo, starts)]
+            out[item] = (mine, g[mine])
+        return out
 
 
 class Matcher:
@@ -183,43 +223,41 @@ class Matcher:
                 by_width.setdefault(min(min_match, len(t)), []).append((i, t))
         self.seeds = [Seeds(some, width) for width, some in sorted(by_width.items())]
 
-    def _tiles(self, doc: np.ndarray, item: np.ndarray, pairs: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
-        """The tiles of a pair from its seed hits, or none if they cannot cover enough."""
+    def _tiles(self, doc: np.ndarray, item: np.ndarray, at: np.ndarray, grams: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+        """The tiles of a pair from the document's seed positions, or none if they cannot cover enough."""
         n, need = len(item), self.coverage * len(item) - 1e-9
         short = min(MIN_TILE, width)
         near = np.zeros(len(doc) + 1, np.int64)  # document tokens no further from a seed than the item is long
-        at = np.array([d for d, _ in pairs])
         np.add.at(near, np.maximum(at - n, 0), 1)
         np.add.at(near, np.minimum(at + width + n, len(doc)), -1)
-        grams = rolling(doc, short)
-        at = np.flatnonzero(np.cumsum(near)[:len(grams)] > 0)
+        brief = rolling(doc, short)
+        close = np.flatnonzero(np.cumsum(near)[:len(brief)] > 0)
         mine = rolling(item, short)
-        found = np.flatnonzero(np.isin(mine, grams[at]))
+        found = np.flatnonzero(np.isin(mine, brief[close]))
         reach = np.zeros(n, bool)  # no tiling covers more than these
         for k in range(short):
             reach[found + k] = True
         if reach.sum() < need:
             return []
-        tiles = tile(pairs, width)
+        whole = rolling(item, width)
+        order = np.argsort(whole, kind="stable")
+        tiles = tile(common_runs(at, grams, order, whole[order], width), width)
         free_doc, free_item = np.ones(len(doc), bool), np.ones(n, bool)
         for d, i, k in tiles:
             free_doc[d:d + k] = free_item[i:i + k] = False
-        at = at[np.all([free_doc[at + k] for k in range(short)], axis=0)]
+        close = close[np.all([free_doc[close + k] for k in range(short)], axis=0)]
         found = found[np.all([free_item[found + k] for k in range(short)], axis=0)]
-        places: dict[int, list[int]] = {}
-        for i in found.tolist():
-            places.setdefault(int(mine[i]), []).append(i)
-        at = at[np.isin(grams[at], mine[found])]
-        tiles += tile([(d, i) for d in at.tolist() for i in places[int(grams[d])]], short)
+        found = found[np.argsort(mine[found], kind="stable")]
+        tiles += tile(common_runs(close, brief[close], found, mine[found], short), short)
         return tiles if sum(k for _, _, k in tiles) >= need else []
 
     def match(self, text: str | None) -> list[tuple]:
         """(item id, item tokens, covered tokens, tiles) of the items that the text covers."""
         doc = self.hasher.tokens(normal(text))
-        hits = {i: (pairs, s.width) for s in self.seeds for i, pairs in s.hits(doc).items()}
+        seeds = {i: (*hit, s.width) for s in self.seeds for i, hit in s.found(doc).items()}
         out = []
-        for item, (pairs, width) in sorted(hits.items()):
-            if tiles := self._tiles(doc, self.tokens[item], pairs, width):
+        for item, (at, grams, width) in sorted(seeds.items()):
+            if tiles := self._tiles(doc, self.tokens[item], at, grams, width):
                 out.append((self.ids[item], len(self.tokens[item]), sum(k for _, _, k in tiles), tiles))
         return out
 
