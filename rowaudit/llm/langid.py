@@ -18,7 +18,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,6 @@ WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 3
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.01, 7
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(key: Column, folds: int = 3, fold: int = 1) -> Column:
@@ -146,7 +144,7 @@ def training_windows(docs: DataFrame, text: str, key: str, label: str, n_docs: i
             draws, langs, parts = [], [], []
             for d, g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 body = x.as_py()
-                if _LETTER.search(body):
+                if any(map(str.isalpha, body)):
                     w = windows(body.lower().encode())
                     for k in sorted({int((i + 0.5) * len(w) / n_windows) for i in range(n_windows)}):
                         draws.append(d)
@@ -186,7 +184,7 @@ def predict(docs: DataFrame, net: ByteNet, *, text: str = "text", key: str = "do
             names, scores = [], []
             for x in batch.column(2):
                 body = x.as_py()
-                if not net.labels or body is None or not _LETTER.search(body):
+                if not net.labels or body is None or not any(map(str.isalpha, body)):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
