@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from conftest import SF001
 from oracle import compare
@@ -133,6 +134,162 @@ def test_tiling_of_short_sentences():
     assert [f[0] for f in m.match("these are just three words alone")] == [2]
 
 
+def _greedy(doc, item, width, limit=None):
+    """Greedy string tiling by trying every pair of positions: marked (doc, item, length)."""
+    used_d, used_i, tiles = set(), set(), []
+    while True:
+        best = None
+        for d in range(len(doc)):
+            for i in range(len(item)):
+                if limit is not None and not limit[d]:
+                    continue
+                n = 0
+                while (d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and d + n not in used_d and i + n not in used_i):
+                    n += 1
+                if n >= width and (best is None or (-n, d, i) < best):
+                    best = (-n, d, i)
+        if best is None:
+            return tiles
+        n, d, i = -best[0], best[1], best[2]
+        used_d.update(range(d, d + n))
+        used_i.update(range(i, i + n))
+        tiles.append((d, i, n))
+
+
+def test_tiling_is_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        item = rng.choices("abcdef", k=rng.randint(5, 18))
+        doc = rng.choices("abcdefxyz", k=rng.randint(0, 12))
+        for _ in range(rng.randint(0, 3)):
+            a = rng.randrange(len(item))
+            doc[rng.randint(0, len(doc)):0] = item[a:a + rng.randint(1, 9)]
+        m = decontam.Matcher([(1, " ".join(item))], 5, 0.0)
+        h = m.hasher
+        d, i = h.tokens(" ".join(doc).encode()), h.tokens(" ".join(item).encode())
+        g, whole = decontam.rolling(d, 5), decontam.rolling(i, 5)
+        order = np.argsort(whole, kind="stable")
+        for hits in (1, 1 << 20):
+            decontam._HITS = hits
+            got = decontam.tile(decontam.common_runs(np.arange(len(g)), g, order, whole[order], 5), 5)
+            assert sorted(got) == sorted(_greedy(doc, item, 5)), (doc, item)
+        decontam._HITS = 1 << 20
+
+
+def test_tiling_of_equal_tokens_is_bounded():
+    import tracemalloc
+
+    m = decontam.Matcher([(1, "a " * 50)], 5, 0.8)
+    tracemalloc.start()
+    assert [f[:3] for f in m.match("a " * 200_000)] == [(1, 50, 50)]
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_tiling_of_scripts_without_spaces():
+    item = "机器学习模型需要大量的训练数据才能得到好的结果"
+    m = decontam.Matcher([(1, item), (2, "ความรู้คือพลังของชีวิต")], 5, 0.8)
+    assert [f[0] for f in m.match(f"前言如下。{item}，这是结尾。")] == [1]
+    assert [f[0] for f in m.match(f"{item[12:]}然后{item[:12]}")] == [1] and not m.match("机器学习模型")
+    assert [f[0] for f in m.match("x ความรู้คือพลังของชีวิต y")] == [2]
+
+
+def test_leaks_of_edge_tables(spark, edge):
+    items = spark.createDataFrame([(1, "Same words in this line here."), (1, "Same words in this line here."), (2, None), (None, "a lone row without id")],
+                                  "item_id long, text string")
+    got = decontam.find_leaks(edge, items).collect()
+    assert sorted((r.doc_id or 0, r.item_id or 0) for r in got) == [(0, 0)] + [(1, 1)] * 2 + [(2, 1)] * 4
+    assert decontam.find_leaks(edge.limit(0), items).count() == 0 and decontam.find_leaks(edge, items.where("item_id = 2")).count() == 0
+
+
+def test_letters_and_unknown_languages(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(("² ½ Ⅷ 12", "été", "_", None, "x²"))], "doc_id long, text string, lang string")
+    net = langid.train(docs)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs.select("doc_id", "text"), net).collect()}
+    assert got == {0: "und", 1: "en", 2: "und", 3: "und", 4: "en"}
+    assert langid.predict(docs.limit(0), net).count() == 0
+
+
+def test_shards_split_by_the_order_of_values(spark):
+    rows = [(i, f"text {i}", f"source{i % 20}" if i % 21 else None) for i in range(2000)]
+    meta, ranks = kdshard.metadata(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {r.d1 for r in meta.select("d1").distinct().collect()}
+    assert got == {float(i) for i in range(-1, 20)} and len(ranks) == 1
+    names = spark.createDataFrame([(f"document-{i:05d}", "x") for i in range(999)], "doc_id string, text string")
+    out = kdshard.shard_documents(names, shards=3).toPandas().sort_values("doc_id")
+    assert sorted(out.shard.value_counts()) == [333] * 3 and (np.diff(out.shard) >= 0).all()  # the id is the only dimension that differs
+
+
+def test_shards_are_even_and_keep_their_columns(spark, edge):
+    docs = table(spark, SF001, "documents")
+    sizes = kdshard.shard_table(docs, shards=8).groupBy("shard").sum("size").collect()
+    total = sum(r[1] for r in sizes)
+    largest = max(len((r.text or "").encode()) for r in docs.collect())
+    assert len(sizes) == 8 and max(r[1] for r in sizes) - total / 8 <= largest + 0.02 * total
+    out = kdshard.shard_documents(edge, shards=2)
+    assert out.columns == [*edge.columns, "shard_"] and {r.shard for r in out.collect()} == {2}
+
+
+def test_kd_tree_is_brute_force(spark):
+    """Leaves by the tree's own cuts, recomputed on the driver: the widest dimension, its weighted median."""
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, "y" * rng.randint(1, 400), f"s{rng.randint(0, 6)}") for i in range(400)], "doc_id long, text string, source string")
+    meta, _ = kdshard.metadata(docs)
+    tree = kdshard.fit_tree(meta, shards=4)
+    rows = kdshard._start(meta, tree.low, tree.high).collect()
+    shard = {r.id: r.shard for r in kdshard.route(meta, tree).collect()}
+    nodes = {0: (rows, 4)}
+    for level in tree.levels:
+        for node, dim, cut, step in level:
+            mine, k = nodes.pop(node)
+            keys = [[r[f"k{i}"] for r in mine] for i in range(len(tree.low))]
+            spans = [max(x) - min(x) for x in keys]
+            assert dim == spans.index(max(spans)) and step == k // 2
+            left = [r for r in mine if r[f"k{dim}"] < cut]
+            total = sum(r["size"] for r in mine)
+            assert abs(sum(r["size"] for r in left) - total * step / k) <= max(r["size"] for r in mine) + 0.002 * total
+            nodes[node], nodes[node + step] = (left, step), ([r for r in mine if r[f"k{dim}"] >= cut], k - step)
+    assert {r["id"]: n for n, (some, _) in nodes.items() for r in some} == shard
+
+
+def test_quality_weights_are_brute_force(spark):
+    import math
+    docs = table(spark, SF001, "documents").select("doc_id", "text")
+    trusted = table(spark, SF001, "labels").where("quality = 1").select("doc_id")
+    more = trusted.unionByName(spark.createDataFrame([(None,), (-5,), (-5,)], "doc_id long"))
+    weights = quality.fit_weights(docs, more)
+    good = {r.doc_id for r in trusted.collect()}
+    raw, target = Counter(), Counter()
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def hash_of(*parts):  # Spark's xxhash64: each value seeds the next
+        h = 42
+        for p in parts:
+            h = xxhash.xxh64_intdigest(p if isinstance(p, bytes) else (p % (1 << 64)).to_bytes(8, "little"), h)
+        return signed(h)
+
+    for r in docs.collect():
+        h = [hash_of(w.encode()) for w in _words(r.text)]
+        for g in h + [hash_of(a, b) for a, b in zip(h, h[1:])]:
+            raw[g % quality.BUCKETS] += 1
+            target[g % quality.BUCKETS] += r.doc_id in good
+    lift = raw.total() / target.total()
+    want = [0] * quality.BUCKETS
+    for b, n in raw.items():
+        want[b] = round(math.log((target[b] + quality.PRIOR) * lift / (n + quality.PRIOR * lift)) * quality.SCALE)
+    assert weights == want
+
+
+def test_id_filter_loses_no_id(spark):
+    ids = spark.range(20_000).selectExpr("id * 7 as i")
+    words = quality.id_filter(ids, "i")
+    both = spark.range(140_000).where(quality.in_filter(F.col("id"), words))
+    assert both.where("id % 7 = 0").count() == 20_000 and both.where("id % 7 <> 0").count() < 12_000
+    assert spark.createDataFrame([(None,)], "i long").where(quality.in_filter(F.col("i"), words)).count() == 0
+
+
 def test_leaks(spark):
     items = {r.item_id: " ".join(re.findall(r"\w+", r.text.lower())) for r in table(spark, SF001, "benchmark").collect()}
     leaks = {(r.doc_id, r.item_id) for r in QUERIES["op1_string_tiling"](spark, SF001).collect()}
