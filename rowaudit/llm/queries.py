@@ -132,7 +132,8 @@ def op4(spark, sf_dir):
     msgs = quotes.messages(table(spark, sf_dir, "conversations"))
     msgs = msgs.withColumn("own_md5", F.md5(quotes.own_text(F.col("text"))))
     return quotes.reply_order(msgs, ("own_md5",)).select(
-        F.col("conv").alias("conv_id"), "turn", "role", "own_md5", "position", "parent_conv", "parent_turn", "n_quotes", "n_linked")
+        F.col("conv").alias("conv_id"), "turn", "role", "own_md5", "position", "parent_conv", "parent_turn", "n_quotes", "n_linked",
+        "root_conv", "root_position", "depth", "thread_position")
 
 
 @register("op11_lexical_search", r"""

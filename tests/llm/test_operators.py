@@ -397,6 +397,85 @@ def test_quotes_of_shared_passages(spark):
     assert got[5, 0] == (0, None, None) and got[None, 1] == (1, 9, 2)
 
 
+def _threads(rows):
+    """Positions, parents, roots and depths of (conv, turn, role, text, tie) by plain loops."""
+    order = lambda m: ((m[0] is not None, m[0] or 0), (m[1] is not None, m[1] or 0), m[4] % 2**64, m[2])
+    msgs = sorted(set(rows), key=order)
+    first_of = lambda m: (m[0] is not None, m[0] or 0)
+    place, count = {}, Counter()
+    for m in msgs:
+        place[m] = (first_of(m), count[m[0]])
+        count[m[0]] += 1
+    norm = lambda t: re.sub(r"[\W_]+", " ", t).strip().lower()
+    said = {}
+    for m in msgs:
+        own = "\n".join(x for x in (m[3] or "").split("\n") if not x.startswith(">"))
+        for part in {norm(own), *map(norm, own.split("\n"))} - {""}:
+            said.setdefault(part, []).append(place[m])
+    out, up = {}, {}
+    for m in msgs:
+        me = place[m]
+        before = (me[0], me[1] - 1) if me[1] else None
+        quote = [x[1:] for x in (m[3] or "").split("\n") if x.startswith(">")]
+        found = None
+        for rank, parts in enumerate(([norm("\n".join(quote))], [norm(x) for x in quote if len(norm(x).split()) >= 3])):
+            links = []
+            for part in parts:
+                places = said.get(part, [])
+                mine, other = [x for x in places if x[0] == me[0] and x < me], [x for x in places if x[0] != me[0]]
+                links += [(0, min(mine))] if mine else [(1, min(other))] if other else []
+            if quote and found is None and links:
+                found = min(links)[1]
+        out[m] = found or before
+        up[me] = found if found and found < me else before
+    result = {}
+    for m in msgs:
+        at, depth = place[m], 0
+        while up[at] is not None:
+            at, depth = up[at], depth + 1
+        result[m] = (place[m], out[m], at, depth)
+    return result
+
+
+def test_threads_are_brute_force(spark):
+    rng = random.Random(3)
+    lines = ["Hello there my friend", "How are you today", "Fine thanks, my dear", "See you later then", "One more word here"]
+    rows = []
+    for c in (None, *range(12)):
+        for i in range(rng.randint(1, 9)):
+            text = rng.choice(lines) + f" {rng.randint(0, 2)}"
+            if rng.random() < 0.6:
+                text = f"> {rng.choice(lines)} {rng.randint(0, 2)}\n{text}"
+            rows.append((c, rng.choice((None, 0, 0, 1, 2, 3)), rng.choice("ua"), text if rng.random() < 0.95 else None))
+    d = spark.createDataFrame(rows + rows[:3], "conv_id long, turn long, role string, text string")
+    msgs = quotes.messages(d)
+    tied = [(r.conv, r.turn, r.role, r.text, r.tie) for r in msgs.collect()]
+    want = _threads(tied)
+    got = quotes.reply_order(msgs, ("text",)).collect()
+    assert len(got) == len(rows) + 3
+    key = lambda c, p: None if p is None else ((c is not None, c or 0), p)
+    seats = {}
+    for r in got:
+        me = (key(r.conv, r.position), key(r.parent_conv, r.parent_position), key(r.root_conv, r.root_position), r.depth)
+        assert me == want[r.conv, r.turn, r.role, r.text, r.tie], (r, want[r.conv, r.turn, r.role, r.text, r.tie])
+        seats.setdefault(me[2], {})[me[0]] = (r.thread_position, r.depth)
+    for some in seats.values():
+        order = sorted(some.items(), key=lambda x: (x[1][1], x[0]))
+        assert [x[1][0] for x in order] == list(range(len(order)))
+
+
+def test_links_inside_a_turn_and_to_a_null_turn(spark):
+    rows = [(1, 4, "u", "Words said in this turn."), (1, 4, "a", "> Words said in this turn.\nyes"), (2, None, "u", "Said without a turn."),
+            (2, 3, "a", "> Said without a turn.\nindeed"), (3, 0, "u", "long " * 100_000), (3, 1, "a", f"> {'long ' * 100_000}\nsure")]
+    got = {(r.conv, r.role): r for r in quotes.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    links = {k: got[k].n_linked for k in ((1, "a"), (2, "a"), (3, "a"))}
+    assert links[2, "a"] == links[3, "a"] == 1 and got[2, "a"].parent_turn is None and got[2, "a"].depth == 1
+    assert links[1, "a"] == (got[1, "u"].position < got[1, "a"].position)  # in one turn the hash says which was first
+    swapped = [(1, 4, "u", f"Words {i} said.") for i in range(30)] + [(1, 4, "a", f"> Words {i} said.\nyes {i}") for i in range(30)]
+    out = quotes.format_chats(spark.createDataFrame(swapped, "conv_id long, turn long, role string, text string")).collect()
+    assert 5 < sum(r.n_linked for r in out) < 30
+
+
 def test_edges(spark, edge):
     n = len(EDGE)
     w = quality.fit_weights(edge, edge.limit(0))
