@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,17 +162,31 @@ def one_hot_rows(df: DataFrame, cols: list[str]) -> DataFrame:
                                                                    (F.col("_rank") - 1).alias("position"))
 
 
+@dataclass(frozen=True)
+class Scaler:
+    """Mean and population sd (1 for a constant) by column; fitted on one table, applied to any."""
+    stats: dict[str, tuple[float, float]]
+
+    @classmethod
+    def fit(cls, df: DataFrame, cols: list[str]) -> "Scaler":
+        row = df.agg(*[f(F.col(c).cast("double")).alias(f"{a}_{c}") for c in cols for a, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        return cls({c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in cols})
+
+    def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:
+        return df.withColumns({c + suffix: (F.col(c).cast("double") - F.lit(m)) / F.lit(s) for c, (m, s) in self.stats.items()})
+
+    def save(self, spark, path: str) -> None:
+        rows = [(c, m, s) for c, (m, s) in self.stats.items()]
+        spark.createDataFrame(rows, "col string, mean double, sd double").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> "Scaler":
+        return cls({r["col"]: (r["mean"], r["sd"]) for r in spark.read.parquet(path).collect()})
+
+
 def standard_scale(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     """(x - mean)/population sd; sd 0 -> divide by 1."""
-    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in cols],
-                 *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in cols]).first()
-    out = df
-    for c in cols:
-        m = row[f"m_{c}"] or 0.0
-        s = row[f"s_{c}"] or 0.0
-        s = s if s > 0 else 1.0
-        out = out.withColumn(c + suffix, (F.col(c).cast("double") - F.lit(m)) / F.lit(s))
-    return out
+    return Scaler.fit(df, cols).transform(df, suffix) if cols else df
 
 
 def select_features(df: DataFrame, rules, keep=("row_id",)) -> DataFrame:
@@ -208,5 +224,5 @@ def prepare_table(df: DataFrame, types: dict[str, str] | None = None) -> DataFra
 
 
 __all__ = ["coerce_median_impute", "mode_impute", "text_fill_empty", "ffill_bfill", "text_features",
-           "minmax_normalize", "category_codes", "one_hot", "one_hot_rows", "standard_scale", "select_features",
+           "minmax_normalize", "category_codes", "one_hot", "one_hot_rows", "Scaler", "standard_scale", "select_features",
            "clean_nonfinite", "prepare_table", "strict_double"]

@@ -93,25 +93,64 @@ class IsolationForestModel:
         return cls(nodes, [r["col"] for r in meta], int(meta[0]["psi"]))
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer: independent bits from a counter added to a hash."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(11)).astype(float) * 2.0 ** -53
+
+
+def draw_trees(h: np.ndarray, n_trees: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, tree, draw): the trees that rows of hash ``h`` join, each with probability ``share``
+    and independently, by geometric skips; a row that joins none costs its first skip alone."""
+    if share >= 1.0:
+        row, tree = np.repeat(np.arange(len(h)), n_trees), np.tile(np.arange(n_trees), len(h))
+        return row, tree, _mix(h[row] + tree.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    rows, at, step = np.arange(len(h)), np.full(len(h), -1), 0
+    out_r, out_t = [], []
+    while len(rows):
+        bits = h[rows] if step == 0 else _mix(h[rows] + np.uint64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        skip = np.floor(np.log1p(-_uniform(bits)) / np.log1p(-share))
+        at = at + 1 + np.minimum(skip, n_trees).astype(np.int64)
+        rows, at = rows[at < n_trees], at[at < n_trees]
+        out_r.append(rows)
+        out_t.append(at)
+        step += 1
+    row, tree = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_r, out_t))
+    return row, tree, _mix(h[row] + (tree + 1).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
 def fit(df: DataFrame, cols: list[str], n_trees: int = 200, max_samples: int = 256,
         seed: int = 42, n: int | None = None) -> IsolationForestModel:
     """Grow ``n_trees`` isolation trees on seeded subsamples of ``df``.
 
-    A row joins a tree if xxhash64(seed, tree, row_id) is below a threshold that
-    lets in a few more than ``psi`` rows on average (six standard deviations); the
-    tree takes the ``psi`` of smallest hash.  Every row can be drawn, nothing but the
-    grown nodes reaches the driver.
+    A row joins each tree with a probability that lets in a few more than ``psi`` rows on
+    average (six standard deviations); the tree takes the ``psi`` of smallest draw.  One
+    hash per row gives its first tree by a geometric skip, and the rows that skip all
+    trees stop there.  Every row can be drawn, nothing but the grown nodes reaches the driver.
     """
     n = df.count() if n is None else n
     psi = int(min(max_samples, n))
     limit = int(math.ceil(math.log2(max(psi, 2))))
     share = min(1.0, (psi + 6.0 * math.sqrt(psi) + 16.0) / max(n, 1))
-    base = df.select("row_id", *[F.col(c).cast("double").alias(c) for c in cols])
-    draws = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(
-        t.alias("tree"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, F.col("row_id")), 1).alias("draw")))
-    if share < 1.0:
-        draws = F.filter(draws, lambda x: x["draw"] < F.lit(int(share * float(1 << 63))))
-    drawn = base.withColumn("_d", F.explode(draws)).select("_d.tree", "_d.draw", "row_id", *cols)
+    base = df.select("row_id", *[F.col(c).cast("double").alias(c) for c in cols], F.xxhash64(F.lit(seed), "row_id").alias("_h"))
+    if share < 1.0:  # the first skip leaves the trees unless the uniform number is below this
+        some = -math.expm1(n_trees * math.log1p(-share))
+        base = base.where(F.shiftrightunsigned("_h", 11) * F.lit(2.0 ** -53) <= F.lit(some))
+
+    def draw(batches):
+        for pdf in batches:
+            row, tree, order = draw_trees(pdf["_h"].to_numpy(np.int64).view(np.uint64), n_trees, share)
+            out = pdf[["row_id", *cols]].iloc[row]
+            yield out.assign(tree=tree.astype(np.int32), draw=(order >> np.uint64(1)).astype(np.int64))
+
+    schema = T.StructType([*base.drop("_h").schema.fields, T.StructField("tree", T.IntegerType()), T.StructField("draw", T.LongType())])
+    drawn = base.mapInPandas(draw, schema)
+    drawn = drawn.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tree")  # not to be coalesced
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])

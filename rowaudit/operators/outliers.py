@@ -11,19 +11,16 @@ from pyspark.sql import functions as F
 
 from rowaudit.operators.flags import finding
 from rowaudit.operators.rules import numeric_value
-from rowaudit.operators.stats import EXACT_LIMIT, exact_quantile, exact_quantiles
+from rowaudit.operators.stats import EXACT_LIMIT, column_quantiles
 
 
 def medians(df: DataFrame, values: dict[str, Column], n: int | None = None) -> dict[str, float | None]:
-    """Exact median of each value column (one pass when small enough)."""
+    """Exact median of each value column; one aggregate for few values, two jobs for many."""
     n = df.count() if n is None else n
-    if n <= EXACT_LIMIT:
+    if n * len(values) <= EXACT_LIMIT:
         row = df.agg(*[F.percentile(v, 0.5).alias(k) for k, v in values.items()]).first()
         return {k: row[k] for k in values}
-    out = {}
-    for k, v in values.items():
-        out[k] = exact_quantile(df.select(v.alias(k)), k, 0.5)
-    return out
+    return {k: v[0] for k, v in column_quantiles(df, values, [0.5]).items()}
 
 
 def impute_median_zero(df: DataFrame, cols: list[str], n: int | None = None) -> tuple[DataFrame, dict]:
@@ -59,10 +56,10 @@ def zscore(df: DataFrame, cols: list[str], z: float = 4.0, name: str = "p2z", se
 
 def iqr_outliers(df: DataFrame, cols: list[str], k: float = 1.5, name: str = "p2iqr") -> DataFrame:
     """Flag values outside [Q1 - k*IQR, Q3 + k*IQR] (exact linear quartiles)."""
-    parts = []
+    parts, values = [], {c: numeric_value(df, c) for c in cols}
+    quartiles = column_quantiles(df, values, [0.25, 0.75])
     for i, c in enumerate(cols):
-        v = numeric_value(df, c)
-        q1, q3 = exact_quantiles(df.select(v.alias("_v")), "_v", [0.25, 0.75])
+        v, (q1, q3) = values[c], quartiles[c]
         if q1 is None:
             continue
         lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)

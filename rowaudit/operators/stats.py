@@ -68,24 +68,62 @@ def exact_quantile(df: DataFrame, col: str, q: float, exact_limit: int = EXACT_L
     return exact_quantiles(df, col, [q], exact_limit)[0]
 
 
+def column_quantiles(df: DataFrame, values: dict[str, Column], qs: list[float], accuracy: int = 10_000) -> dict[str, list[float | None]]:
+    """``numpy.percentile`` (linear) of any number of value columns, nulls ignored, in two jobs.
+
+    The columns become rows (column, value).  One pass brackets every wanted order statistic
+    with ``percentile_approx``; a second counts, per bracket, the rows below it and those of each
+    value inside, and a running sum over these few values finds the exact ones.  A bracket holds
+    about ``6 / accuracy`` of a column's rows.
+    """
+    names = list(values)
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), values[k].cast("double").alias("v")) for i, k in enumerate(names)])).alias("x")) \
+        .select("x.c", "x.v").where("v is not null")
+    eps = 3.0 / accuracy
+    marks = [x for q in qs for x in (max(0.0, q - eps), min(1.0, q + eps))]
+    ends = long.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", F.array(*[F.lit(x) for x in marks]), F.lit(accuracy)).alias("p"))
+    ends = {r["c"]: r for r in ends.collect()}  # a row per column
+    out: dict[str, list[float | None]] = {k: [None] * len(qs) for k in names}
+    if not ends:
+        return out
+    brackets = [(c, j, math.floor(q * (r["n"] - 1)), r["p"][2 * j] if q > eps else -math.inf, r["p"][2 * j + 1] if q < 1 - eps else math.inf)
+                for c, r in ends.items() for j, q in enumerate(qs)]
+    found: dict[tuple[int, int], dict[int, float]] = {(c, j): {} for c, j, *_ in brackets}
+    while brackets:
+        table = df.sparkSession.createDataFrame(brackets, "c int, j int, lo long, a double, b double")  # columns x quantiles rows
+        hit = long.join(F.broadcast(table), "c").where("v <= b")
+        hit = hit.groupBy("c", "j", "lo", F.when(F.col("v") >= F.col("a"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("m"))
+        upto = Window.partitionBy("c", "j").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        run = hit.withColumn("upto", F.sum("m").over(upto)).where("upto > lo and upto - m <= lo + 1")  # the values of rank lo and lo + 1
+        for r in run.collect():
+            for rank in (r["lo"], r["lo"] + 1):
+                if r["upto"] - r["m"] <= rank < r["upto"]:
+                    found[r["c"], r["j"]][rank] = r["v"]
+        again = []
+        for c, j, lo, a, b in brackets:
+            got, last = found[c, j], ends[c]["n"] - 1
+            if got.get(lo) is None or (lo < last and got.get(lo + 1) is None):  # the bracket missed: open it
+                again.append((c, j, lo, -math.inf, math.inf))
+        if again == brackets:
+            raise ArithmeticError("order statistics not found; are there NaN values?")
+        brackets = again
+    for (c, j), got in found.items():
+        pos = qs[j] * (ends[c]["n"] - 1)
+        lo = math.floor(pos)
+        out[names[c]][j] = got[lo] + (pos - lo) * (got[lo + 1] - got[lo]) if pos > lo else got[lo]
+    return out
+
+
 def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Long table (column, n, mean, sd_pop, sd_samp, min, max, median): one
-    aggregation pass for the moments, exact median per column."""
-    exprs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        exprs += [F.count(x).alias(f"{c}__n"), F.avg(x).alias(f"{c}__mean"),
-                  F.stddev_pop(x).alias(f"{c}__sdp"), F.stddev_samp(x).alias(f"{c}__sds"),
-                  F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
-                  F.percentile(x, 0.5).alias(f"{c}__median")]
-    wide = df.agg(*exprs)
-    parts = []
-    for c in cols:
-        parts.append(F.struct(F.lit(c).alias("column"), F.col(f"{c}__n").alias("n"),
-                              F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__sdp").alias("sd_pop"),
-                              F.col(f"{c}__sds").alias("sd_samp"), F.col(f"{c}__min").alias("min"),
-                              F.col(f"{c}__max").alias("max"), F.col(f"{c}__median").alias("median")))
-    return wide.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
+    """Long table (column, n, mean, sd_pop, sd_samp, min, max, median): one pass over (column, value)
+    rows for the moments, two jobs for all exact medians."""
+    values = {c: F.col(c).cast("double") for c in cols}
+    med = column_quantiles(df, values, [0.5])
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), values[c].alias("v")) for c in cols])).alias("x")).select("x.column", "x.v")
+    m = long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd_pop"),
+                                   F.stddev_samp("v").alias("sd_samp"), F.min("v").alias("min"), F.max("v").alias("max"))
+    table = df.sparkSession.createDataFrame([(c, med[c][0]) for c in cols], "column string, median double")
+    return m.join(F.broadcast(table), "column")
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -96,8 +134,3 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 def smallest_class(df: DataFrame, label: str) -> int:
     r = class_counts(df, label).agg(F.min("n")).first()[0]
     return int(r or 0)
-
-
-def quantile_column(c: Column | str, q: float) -> Column:
-    """Aggregate expression for an exact quantile inside a larger ``agg``."""
-    return F.percentile(F.col(c) if isinstance(c, str) else c, q)

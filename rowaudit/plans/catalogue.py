@@ -1134,6 +1134,34 @@ def q_read_jsonl(spark, sf):
     return read_jsonl(spark, path, e.schema, timestampFormat=TS_FORMAT, timestampNTZFormat=TS_FORMAT)
 
 
+@register("one_hot_rows", """
+WITH v AS (SELECT 0 AS c, 'o_orderstatus' AS "column", CAST(o_orderstatus AS VARCHAR) AS category, o_orderkey AS row_id FROM orders
+           UNION ALL SELECT 1, 'o_clerk_no', CAST(o_custkey AS VARCHAR), o_orderkey FROM orders WHERE o_orderkey % 17 <> 0),
+p AS (SELECT c, category, row_number() OVER (ORDER BY c, category) - 1 AS position FROM (SELECT DISTINCT c, category FROM v))
+SELECT v.row_id, v."column", v.category, CAST(p.position AS BIGINT) AS position FROM v JOIN p USING (c, category)
+""")
+def q_one_hot_rows(spark, sf):
+    from rowaudit.operators.clean import one_hot_rows
+    o = orders(spark, sf).withColumn("o_clerk_no", F.when(F.col("row_id") % 17 != 0, F.col("o_custkey")))
+    return one_hot_rows(o, ["o_orderstatus", "o_clerk_no"])
+
+
+CSV_TYPED_SQL = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority
+FROM orders"""
+
+
+@register("read_csv_typed", CSV_TYPED_SQL)
+def q_read_csv_typed(spark, sf):
+    """Types from all values, files split, missing values spelt NA."""
+    from rowaudit.session import shared_dir
+    from rowaudit.sources.files import read_csv
+    o = orders(spark, sf).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                 F.when(F.col("o_orderkey") % 17 == 0, "NA").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+    path = shared_dir(spark, "csv")
+    o.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return read_csv(spark, path, infer_schema=True, quoted_newlines=False)
+
+
 @register("write_clean_csv", f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
 FROM orders WHERE NOT {ORDER_P1_WHERE}""")
 def q_write_clean_csv(spark, sf):

@@ -63,3 +63,11 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into spark.checkpoint.dir (survives executor loss)."""
     _checkpoint_base(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df):
+    """For tables that are about to be worked hard per row: checkpointed, and dealt out anew if
+    they came in fewer partitions than there are cores (a small file is one partition)."""
+    cut = cut_lineage(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cut if cut.rdd.getNumPartitions() >= cores else cut_lineage(cut.repartition(cores))
