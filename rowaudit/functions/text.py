@@ -55,3 +55,29 @@ def pii_kind(c) -> Column:
         F.when(x.rlike(IPV4_PATTERN), F.lit("ipv4")),
         F.when(x.rlike(PHONE_PATTERN), F.lit("phone")),
     )
+
+
+# Frequent function words by language, for texts without a language column.
+FUNCTION_WORDS = {
+    "de": ["als", "auf", "das", "dem", "den", "der", "des", "die", "ein", "eine", "ist", "mit", "nicht", "sich", "und", "von", "zu", "zum"],
+    "en": ["and", "are", "as", "at", "by", "for", "from", "have", "is", "not", "of", "on", "that", "the", "this", "to", "was", "with"],
+    "es": ["al", "como", "con", "del", "el", "en", "es", "las", "los", "no", "para", "por", "que", "se", "su", "una", "un", "la"],
+    "fr": ["au", "avec", "ce", "dans", "des", "du", "est", "et", "la", "le", "les", "ne", "pas", "pour", "que", "qui", "sur", "une"],
+}
+
+
+def function_word_counts(c, words: dict[str, list[str]] | None = None) -> Column:
+    """Array of (hits, lang): how many of the text's tokens are function words of each language."""
+    toks = tokens(c)
+
+    def hits(some: list[str]) -> Column:
+        return F.size(F.filter(toks, lambda t: t.isin(some)))
+
+    return F.array(*[F.struct(hits(some).alias("hits"), F.lit(lang).alias("lang")) for lang, some in sorted((words or FUNCTION_WORDS).items())])
+
+
+def likely_language(c, words: dict[str, list[str]] | None = None) -> Column:
+    """The language with most function words in the text, of equals the first by name; null without any."""
+    best = F.reduce(function_word_counts(c, words), F.struct(F.lit(0).alias("hits"), F.lit(None).cast("string").alias("lang")),
+                    lambda a, x: F.when(x["hits"] > a["hits"], x).otherwise(a))
+    return best["lang"]

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from rowaudit.functions.lexicon import lexicon_mean, lexicon_rows, lexicon_scores
 from rowaudit.functions.numeric import strict_double
-from rowaudit.functions.text import has_html, has_url, pii_kind, word_count
+from rowaudit.functions.text import has_html, has_url, likely_language, pii_kind, word_count
 from rowaudit.operators.flags import finding, flags_from
 
 NUMERICAL, CATEGORICAL, TEXT = "Numerical", "Categorical", "Text"
@@ -120,8 +120,8 @@ def text_violation(df: DataFrame, text_col: str, rules: TextRules, lexicon_rows_
         k = pii_kind(t)
         parts.append(F.when(k.isNotNull(), finding(4, text_col, F.concat(F.lit("Personal data "), k))))
     if rules.language is not None:
-        _need(df, rules.language_col, "language")
-        lang = F.col(rules.language_col)
+        # without a language column the text's function words tell
+        lang = F.col(rules.language_col) if rules.language_col in df.columns else likely_language(t)
         parts.append(F.when(lang.isNull() | (lang != rules.language), finding(5, text_col, "Language mismatch")))
     if rules.max_perplexity is not None:
         _need(df, "perplexity", "perplexity")

@@ -4,15 +4,19 @@ broadcast tables have a fixed bound (stop words, top-N vocabulary)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from importlib import resources
 
-from pyspark.ml.feature import HashingTF, IDF, Normalizer
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowaudit.functions.text import tokens
 from rowaudit.operators.flags import finding
+from rowaudit.session import cut_lineage
 
 
 def stop_words() -> list[str]:
@@ -59,7 +63,6 @@ def trigram_perplexity(df: DataFrame, text_col: str, id_col: str = "row_id", nam
     distinct third characters.  exp(-mean ln P) over the document's trigrams."""
     g = df.select(F.col(id_col).alias("_id"), F.explode(trigrams(F.col(text_col))).alias("_tri"))
     counts = g.groupBy("_tri").agg(F.count(F.lit(1)).alias("_c")).withColumn("_ctx", F.substring("_tri", 1, 2))
-    from rowaudit.session import cut_lineage
     counts = cut_lineage(counts)
     ctx = counts.groupBy("_ctx").agg(F.sum("_c").alias("_cc"))
     v = counts.select(F.substring("_tri", 3, 1).alias("ch")).distinct().count()
@@ -83,11 +86,43 @@ def perplexity_outliers(df: DataFrame, text_col: str, max_perplexity: float, nam
                                      finding(6, text_col, "High perplexity", F.col("perplexity"))))
 
 
-def embed_text(df: DataFrame, text_col: str, dim: int = 256, name: str = "embedding") -> DataFrame:
-    """Dense text vectors without model files: hashed term counts -> IDF ->
-    L2 norm, as array<double> of length ``dim``."""
-    toks = df.withColumn("_toks", F.filter(tokens(F.col(text_col)), lambda t: ~t.isin(stop_words())))
-    tf = HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=dim).transform(toks)
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf).transform(tf)
-    nrm = Normalizer(inputCol="_idf", outputCol="_n", p=2.0).transform(idf)
-    return nrm.withColumn(name, vector_to_array("_n")).drop("_toks", "_tf", "_idf", "_n")
+def embed_text(df: DataFrame, text_col: str, dim: int = 256, name: str = "embedding", encoder: Callable | None = None,
+               components: int | None = None, batch: int = 64) -> DataFrame:
+    """Dense text vectors as array<double>; with ``components`` projected on the first principal axes.
+
+    Without an encoder: hashed term counts -> IDF -> L2 norm, of length ``dim``.  ``encoder`` is a
+    function without arguments that loads a model, once per worker process, and returns a function
+    from a list of texts to a matrix; texts go to it ``batch`` at a time, a null one as empty.
+    """
+    if encoder is not None:
+        @F.pandas_udf("array<double>")
+        def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = _loaded(encoder)
+            for some in texts:
+                rows = some.fillna("").tolist()
+                parts = [np.asarray(model(rows[i:i + batch]), float) for i in range(0, len(rows), batch)]
+                yield pd.Series([x.tolist() for p in parts for x in p], index=some.index)
+
+        out = df.withColumn(name, encode(F.col(text_col)))
+    else:
+        toks = df.withColumn("_toks", F.filter(tokens(F.coalesce(F.col(text_col), F.lit(""))), lambda t: ~t.isin(stop_words())))
+        tf = HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=dim).transform(toks)
+        idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf).transform(tf)
+        nrm = Normalizer(inputCol="_idf", outputCol="_n", p=2.0).transform(idf)
+        out = nrm.withColumn(name, vector_to_array("_n")).drop("_toks", "_tf", "_idf", "_n")
+    if components is None:
+        return out
+    out = cut_lineage(out).withColumn("_v", array_to_vector(name))
+    axes = PCA(k=components, inputCol="_v", outputCol="_pc").fit(out)  # a distributed covariance
+    return axes.transform(out).withColumn(name, vector_to_array("_pc")).drop("_v", "_pc")
+
+
+_MODELS: dict = {}
+
+
+def _loaded(encoder: Callable):
+    """The model of an encoder, loaded once in this worker process."""
+    key = (encoder.__module__, encoder.__qualname__)
+    if key not in _MODELS:
+        _MODELS[key] = encoder()
+    return _MODELS[key]

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowaudit.functions.text import FUNCTION_WORDS, likely_language
 from rowaudit.operators import flags as fl
 from rowaudit.operators import outliers as ol
 from rowaudit.operators import rules as ru
@@ -515,6 +516,29 @@ def q_language_check(spark, sf):
     return ru.text_flags(documents(spark, sf), "text", r).select("row_id", "reason")
 
 
+def _hits_sql(lang: str, words: list[str]) -> str:
+    return f"len(list_filter(t, lambda w: w IN ({_sql_list(words)})))"
+
+
+def _language_sql() -> str:
+    langs = sorted(FUNCTION_WORDS)
+    hits = ", ".join(f"{_hits_sql(k, FUNCTION_WORDS[k])} AS {k}" for k in langs)
+    pick = " ".join(f"WHEN {k} > 0 AND {k} = greatest({', '.join(langs)}) THEN '{k}'" for k in langs)
+    return rf"""
+WITH d AS (SELECT doc_id AS row_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{2,}}') AS t FROM documents),
+h AS (SELECT row_id, {hits} FROM d),
+g AS (SELECT row_id, CASE {pick} END AS lang FROM h)
+SELECT row_id, lang, lang IS NULL OR lang <> 'en' AS mismatch FROM g"""
+
+
+@register("language_by_function_words", _language_sql())
+def q_language_by_function_words(spark, sf):
+    """The language check on documents that come without a language column."""
+    d = documents(spark, sf).select("row_id", F.coalesce("text", F.lit("")).alias("text"))
+    r = ru.TextRules(min_length=0, max_length=2 ** 31 - 1, flag_urls=False, flag_gibberish=False, language="en")
+    return ru.check_text(d, "text", r, name="p1").select("row_id", likely_language("text").alias("lang"), F.col("p1").isNotNull().alias("mismatch"))
+
+
 PERPLEXITY_LIMIT = 30.0
 
 

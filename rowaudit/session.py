@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -71,3 +72,24 @@ def spread(df):
     cut = cut_lineage(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return cut if cut.rdd.getNumPartitions() >= cores else cut_lineage(cut.repartition(cores))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of the application, once; for clusters, and for
+    drivers that found it on a path that the workers do not have."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="rowaudit-zip-"), "rowaudit_package.zip")  # read by the driver alone
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for n in names:
+                if n.endswith((".py", ".txt")):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("rowaudit", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
