@@ -206,7 +206,8 @@ def outliers(df: DataFrame, cols: list[str], contamination: float | None = None,
              keep_score: bool = False) -> DataFrame:
     """Flag rows whose score is strictly above the (1 - contamination) quantile."""
     from rowaudit.operators.stats import exact_quantile
-    from rowaudit.session import cut_lineage
+    from rowaudit.session import cut_lineage, spread
+    df = spread(df)
     n = df.count()
     c = contamination_for(n) if contamination is None else contamination
     model = fit(df, cols, n_trees=n_trees, seed=seed, n=n)

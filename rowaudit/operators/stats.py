@@ -134,3 +134,12 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 def smallest_class(df: DataFrame, label: str) -> int:
     r = class_counts(df, label).agg(F.min("n")).first()[0]
     return int(r or 0)
+
+
+def vector_length(df: DataFrame, vec: str) -> int:
+    """The one length of the vectors of a column; raises where they differ or one is null."""
+    v = F.col(vec)
+    row = df.agg(F.min(F.size(v)).alias("lo"), F.max(F.size(v)).alias("hi"), F.count_if(v.isNull()).alias("none")).first()
+    if row["none"] or row["lo"] != row["hi"]:
+        raise ValueError(f"column {vec}: vectors must have one length and not be null")
+    return row["lo"] or 0

@@ -17,6 +17,7 @@ from rowaudit.operators.flags import (adjudicate, detection_metrics, empty_flags
                                       metrics_from_flags)
 from rowaudit.operators.outliers import impute_median_zero
 from rowaudit.operators.rules import NUMERICAL, ColumnRule, TextRules, check_table, check_text
+from rowaudit.operators.stats import vector_length
 from rowaudit.session import cut_lineage
 
 MIN_DETECT_ROWS = 10
@@ -62,7 +63,9 @@ def sanitize_table(df: DataFrame, rules: list[ColumnRule], task: str, target: st
     task: 'classification' runs the label audit; 'regression' stops after
     phase 2 (its canary is never used to flag)."""
     spark = df.sparkSession
-    d = cut_lineage(check_table(df, rules, "p1"))
+    # only what the phases read is kept between them
+    needed = {"row_id", target, *(r.col_name for r in rules)}
+    d = cut_lineage(check_table(df.select(*[c for c in df.columns if c in needed]), rules, "p1"))
     flags = [flags_from(d, "p1", 1)]
     clean = d.where(F.col("p1").isNull()).drop("p1")
     n_clean = clean.count()
@@ -94,7 +97,7 @@ def sanitize_text(df: DataFrame, text_col: str, target: str, rules: TextRules |
     if n_clean >= MIN_DETECT_ROWS:
         e = clean if vec is not None else text.embed_text(clean, text_col, name="_emb")
         vcol = vec or "_emb"
-        dim = len(e.select(vcol).first()[0])
+        dim = vector_length(e, vcol)
         cols = [f"_d{i}" for i in range(dim)]
         e = e.select("*", *[F.col(vcol)[i].cast("double").alias(c) for i, c in enumerate(cols)])
         e = standard_scale(e, cols)
