@@ -12,6 +12,7 @@ TOKEN_PATTERN = r"(?U)\w{2,}"  # maximal runs of 2+ word characters
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 IPV4_PATTERN = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
 PHONE_PATTERN = r"\+?[0-9][0-9 ().-]{8,}[0-9]"
+LINK_PATTERN, OTHER_PATTERN, GAP_PATTERN = r"http\S+", r"[^a-zA-Z0-9 ]", r"\s+"  # of clean_text
 CARD_PATTERN = r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b"
 
 
@@ -27,9 +28,9 @@ def word_count(c) -> Column:
 def clean_text(c) -> Column:
     """lower, drop links, non-alphanumerics to space, collapse spaces, strip."""
     x = F.lower(F.coalesce(_col(c), F.lit("")))
-    x = F.regexp_replace(x, r"http\S+", "")
-    x = F.regexp_replace(x, r"[^a-zA-Z0-9 ]", " ")
-    x = F.regexp_replace(x, r"\s+", " ")
+    x = F.regexp_replace(x, LINK_PATTERN, "")
+    x = F.regexp_replace(x, OTHER_PATTERN, " ")
+    x = F.regexp_replace(x, GAP_PATTERN, " ")
     return F.trim(x)
 
 

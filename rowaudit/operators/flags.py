@@ -67,10 +67,16 @@ def mark_truth(df: DataFrame, truth: DataFrame, name: str = "is_actual_poisoned"
     return df.join(t, "row_id", "left").withColumn(name, F.coalesce("_t", F.lit(0)).cast("int")).drop("_t")
 
 
+def first_reasons(flags: DataFrame) -> DataFrame:
+    """(row_id, reason): of several findings of a row the earliest by phase and seq, where the table has them."""
+    order = [c for c in ("phase", "seq") if c in flags.columns]
+    return flags.groupBy("row_id").agg(F.min_by("reason", F.struct(*order, "reason")).alias("reason"))
+
+
 def row_status(df: DataFrame, flags: DataFrame, truth: DataFrame | None = None) -> DataFrame:
     """Every row with is_flagged, reason ('---' if none), is_actual_poisoned and
     status tp/fp/fn/clean (clean also when no truth is given)."""
-    fl = flags.select("row_id", F.col("reason").alias("_reason"))
+    fl = first_reasons(flags).withColumnRenamed("reason", "_reason")
     out = df.join(fl, "row_id", "left")
     out = out.withColumn("is_flagged", F.col("_reason").isNotNull()) \
         .withColumn("reason", F.coalesce("_reason", F.lit(NO_REASON))).drop("_reason")
@@ -164,7 +170,7 @@ def metrics_from_flags(df: DataFrame, flags: DataFrame, truth: DataFrame) -> Dat
 
 def flagged_page(df: DataFrame, flags: DataFrame, page: int, page_size: int = 10) -> DataFrame:
     """Page ``page`` (1-based) of flagged rows in row order."""
-    j = df.join(flags.select("row_id", "reason"), "row_id")
+    j = df.join(first_reasons(flags), "row_id")
     return j.orderBy("row_id").offset((page - 1) * page_size).limit(page_size)
 
 
@@ -177,4 +183,4 @@ def first_rows(df: DataFrame, cond: Column | None = None, n: int = 50) -> DataFr
 def review_batch(df: DataFrame, flags: DataFrame, n: int = 200) -> DataFrame:
     """First ``n`` rows with their current flag reason (null if unflagged)."""
     head = df.orderBy("row_id").limit(n)
-    return head.join(flags.select("row_id", "reason"), "row_id", "left")
+    return head.join(first_reasons(flags), "row_id", "left")

@@ -11,10 +11,6 @@ from rowaudit.functions.numeric import strict_double
 NUMERICAL, CATEGORICAL, TEXT, DATETIME = "NUMERICAL", "CATEGORICAL", "TEXT", "DATETIME"
 
 
-def _unpivot(row_struct_cols: list, names: tuple[str, str]) -> list:
-    return [F.explode(F.array(*row_struct_cols)).alias("s")]
-
-
 def infer_num_or_cat(df: DataFrame, cols: list[str] | None = None, parse_strings: bool = True) -> DataFrame:
     """(column, auto_type) with auto_type Numerical/Categorical.
 

@@ -9,9 +9,10 @@ from rowaudit.operators.rules import TextRules, check_text
 
 def test_checks_need_their_column(spark):
     d = spark.createDataFrame([(1, "some text here")], "row_id long, text string")
-    for rules in (TextRules(language="en"), TextRules(max_perplexity=10.0)):
-        with pytest.raises(ValueError, match="needs the column"):
-            check_text(d, "text", rules)
+    with pytest.raises(ValueError, match="needs the column"):
+        check_text(d, "text", TextRules(max_perplexity=10.0))
+    # the language check reads the text where there is no language column
+    assert check_text(d, "text", TextRules(language="en", flag_gibberish=False)).first().p1.reason == "Language mismatch"
 
 
 def test_lexicon_plans_agree(spark, monkeypatch):
@@ -35,3 +36,13 @@ def test_small_table_keeps_the_schema(spark):
     assert small.columns == big.columns and small.schema["x"].dataType == big.schema["x"].dataType
     assert sorted(r.row_id for r in small.collect()) == [0, 1, 2]
     assert [r.is_actual_poisoned for r in small.collect()] == [0, 0, 0]
+
+
+def test_reports_keep_one_row_with_several_findings(spark):
+    from rowaudit.operators import flags as fl
+    df = spark.createDataFrame([(1,), (2,), (3,)], "row_id long")
+    found = spark.createDataFrame([(1, 2, 0, "later"), (1, 1, 5, "second"), (1, 1, 2, "first"), (3, 1, 0, None)], "row_id long, phase int, seq int, reason string")
+    assert [(r.row_id, r.reason) for r in fl.row_status(df, found.where("row_id = 1")).orderBy("row_id").collect()] == [(1, "first"), (2, "---"), (3, "---")]
+    assert [tuple(r) for r in fl.flagged_page(df, found.where("row_id = 1"), 1).collect()] == [(1, "first")]
+    assert [tuple(r) for r in fl.review_batch(df, found.where("row_id = 1"), 2).orderBy("row_id").collect()] == [(1, "first"), (2, None)]
+    assert fl.flagged_page(df, found.select("row_id", "reason").where("row_id = 1"), 1).count() == 1
