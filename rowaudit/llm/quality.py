@@ -5,9 +5,10 @@ Two steps, each one pass over the texts:
 
 1. every word and word pair of every document is hashed into ``buckets`` bins and
    counted, for all documents (raw) and for the trusted ones (target); map-side combine
-   leaves at most ``buckets`` rows per task.  All documents are counted without a join.  The
-   trusted ones are found by a Bloom filter of bounded size over their ids, and only the few
-   documents that pass it are joined with the ids;
+   leaves at most ``buckets`` rows per task.  The trusted documents are marked where they are
+   read, by a Bloom filter of bounded size over their ids.  The documents that it marks wrongly
+   are found by a join of ids alone, and their counts are taken off again; only their texts
+   (about one in seventy, and as many of the trusted) are shuffled;
 2. the log ratio of the two smoothed multinomials, a fixed-point long per bin, is
    an array constant of ``buckets`` entries; each document sums its bins and
    divides by its number of n-grams.
@@ -83,9 +84,9 @@ def _slots(id_: Column, bits: int) -> list[Column]:
 
 
 def id_filter(ids: DataFrame, column: str) -> list[int]:
-    """A Bloom filter over the ids as 64-bit words: eight bits an id, ``MAX_FILTER_BITS`` at most
-    (beyond that more documents pass that are not meant; the join after it is exact)."""
-    bits = min(MAX_FILTER_BITS, max(1 << 16, 1 << (8 * ids.count()).bit_length()))
+    """A Bloom filter over the ids as 64-bit words: sixteen bits an id, ``MAX_FILTER_BITS`` at
+    most (beyond that more documents pass that are not meant, and are counted off again)."""
+    bits = min(MAX_FILTER_BITS, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
     place = ids.select(F.explode(F.array(*_slots(F.col(column), bits))).alias("s"))
     words = place.groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("x"))
     out = [0] * (bits // 64)
@@ -107,13 +108,20 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, *, text: str = "text", key:
     ids = staged(trusted.select(F.col(key).alias("_tid")).where(F.col("_tid").isNotNull()).distinct(), "trusted")
     texts = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
 
-    def counts(some: DataFrame) -> dict[int, int]:
-        g = grams(some, "_text", []).select(F.explode(F.concat("_qh", "_qp")).alias("_g"))
-        return dict(g.groupBy(F.pmod("_g", F.lit(buckets)).cast("int")).agg(F.count(F.lit(1))).collect())  # at most `buckets` rows
-
-    # the filter lets through the trusted documents and a few others; only those meet the ids in a join
-    maybe = texts.where(in_filter(F.col("_id"), id_filter(ids, "_tid")))
-    raw, good = counts(texts), counts(maybe.join(ids, F.col("_id") == F.col("_tid"), "left_semi"))
+    def counts(some: DataFrame) -> dict[int, tuple[int, int]]:
+        """All n-grams and those of marked documents, by bin."""
+        g = grams(some, "_text", ["_in"]).select("_in", F.explode(F.concat("_qh", "_qp")).alias("_g"))
+        rows = g.groupBy(F.pmod("_g", F.lit(buckets)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("_in").alias("m"))
+        return {r["b"]: (r["n"], r["m"]) for r in rows.collect()}  # at most `buckets` rows
+
+    # the filter marks the trusted documents and a few others; the latter are known by their ids alone
+    mark = in_filter(F.col("_id"), id_filter(ids, "_tid"))
+    both = counts(texts.withColumn("_in", mark.cast("long")))
+    others = staged(texts.where(mark).select("_id").distinct().join(ids, F.col("_id") == F.col("_tid"), "left_anti"), "others")
+    few = texts.where(mark & in_filter(F.col("_id"), id_filter(others, "_id"))).join(others, "_id", "left_semi")
+    wrong = counts(few.withColumn("_in", F.lit(1).cast("long")))
+    raw = {x: n for x, (n, _) in both.items()}
+    good = {x: m - wrong.get(x, (0, 0))[1] for x, (_, m) in both.items()}
     n_raw, n_good = sum(raw.values()), sum(good.values())
     weights = [0] * buckets
     if n_good:
