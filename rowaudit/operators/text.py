@@ -26,8 +26,10 @@ def stop_words() -> list[str]:
 
 
 def doc_terms(df: DataFrame, text_col: str, id_col: str = "row_id", drop_stop: bool = True) -> DataFrame:
-    """(id, term, tf) term counts per document."""
-    t = df.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("term"))
+    """(id, term, tf) term counts per document.  The texts are shuffled by document, not their terms:
+    whatever is grouped by document later on finds its rows in place."""
+    texts = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")).repartition("doc")
+    t = texts.select("doc", F.explode(tokens(F.col("_text"))).alias("term"))
     if drop_stop:
         t = t.where(~F.col("term").isin(stop_words()))
     return t.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
