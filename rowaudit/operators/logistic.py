@@ -8,6 +8,10 @@ not depend on the number of folds; a row costs its non-zero entries, whatever th
 Centering and scaling never densify a row: with column scale s and mean m the margin is
 ``sum(val * s * w) - sum(m * s * w)``, and the gradient ``s * (sum(r * val) - m * sum(r))``.
 
+Rows are packed into blocks of ``BLOCK`` once (``pack``), with their entries in both orders and their
+lengths, so a pass is a few array operations per block for all models together: matrix products
+where there are few columns (``DENSE``), sums over runs of entries otherwise.
+
 The objective of each model is ``sum(weight * loss) + |w|^2 / 2`` (intercepts free), with the
 sigmoid for two classes and the softmax for more.  The driver holds the coefficients
 (models x classes x columns) and runs L-BFGS on each model with a common pass per trial.
@@ -24,7 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowaudit.session import kept
+
 MAX_PASSES, TOLERANCE, MEMORY = 400, 1e-6, 10
+#: Rows of a block, and the greatest number of columns that are laid out as a matrix.
+BLOCK, DENSE = 2_000, 64
 
 
 @dataclass(frozen=True)
@@ -75,39 +83,99 @@ def _sparse(batch: pa.RecordBatch) -> tuple:
             batch.column("vals").flatten().to_numpy(), len(size))
 
 
-def _pass(rows: DataFrame, space: Space, thetas: dict[int, np.ndarray]) -> tuple[dict[int, float], dict[int, np.ndarray]]:
-    """Loss and gradient (without the penalty) of the given models, in one job."""
+def _runs(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of consecutive values, ``size`` of them each."""
+    out, some = np.zeros(len(size)), np.flatnonzero(size)
+    if len(some):
+        out[some] = np.add.reduceat(values, (np.cumsum(size) - size)[some])
+    return out
+
+
+def pack(rows: DataFrame, space: Space) -> DataFrame:
+    """The rows as blocks of arrays: fold, label, number of entries, entries by row, and with ``unit``
+    the length of each row for each model."""
+    squares = space.scale * space.scale
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), BLOCK):
+                fold, label, row, col, val, n = _sparse(whole.slice(at, BLOCK))
+                size = np.bincount(row, minlength=n)
+                length = np.zeros(0)
+                if space.unit:
+                    length = np.stack([np.sqrt(_runs(val * val * s[col], size)) for s in squares])
+                    length[length == 0] = 1.0
+                arrays = (fold.astype(np.int32), label.astype(np.int32), size.astype(np.int32), col.astype(np.int32), val.astype(float), length)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=names)
+
+    names = ["fold", "label", "size", "col", "val", "length"]
+    return kept(rows.select("fold", "label_idx", "cols", "vals").mapInArrow(run, ", ".join(f"{x} binary" for x in names)), "blocks")
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+    kinds = {"val": float, "length": float}
+    columns = [[np.frombuffer(x.as_buffer(), kinds.get(name, np.int32)) for x in batch.column(name)] for name in batch.schema.names]
+    yield from map(list, zip(*columns))
+
+
+def _pass(blocks: DataFrame, space: Space, thetas: dict[int, np.ndarray]) -> tuple[dict[int, float], dict[int, np.ndarray]]:
+    """Loss and gradient (without the penalty) of the given models over packed rows, in one job."""
     d, many = space.scale.shape[1], space.vectors
     wide = d + 2  # the columns, the intercept, the loss
+    models = list(thetas)
+    # (models x vectors) x columns, for unscaled values
+    W = np.vstack([thetas[m][:, :-1] * space.scale[m] for m in models])
+    shift = np.concatenate([thetas[m][:, -1] - (thetas[m][:, :-1] * (space.mean[m] * space.scale[m])).sum(1) for m in models])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {m: np.zeros((many, wide)) for m in thetas}
+        grad, free, loss = np.zeros((len(shift), d)), np.zeros(len(shift)), np.zeros(len(models))
         for batch in batches:
-            fold, label, row, col, val, n = _sparse(batch)
-            for m, theta in thetas.items():
-                weight = np.where(fold == m, 0.0, space.weight[m][label])
-                if not weight.any():
-                    continue
-                v = _values(space, m, row, col, val, n)
-                p = _probabilities(_margins(space, m, theta, row, col, v, n))
-                t = total[m]
-                t[0, -1] -= (weight * np.log(np.maximum(p[label, np.arange(n)], 1e-300))).sum()
-                for c in range(many):
-                    r = weight * (p[1] - (label == 1) if many == 1 else p[c] - (label == c))
-                    t[c, :d] += np.bincount(col, v * r[row], d)
-                    t[c, d] += r.sum()
-        for m, t in total.items():
-            at = np.flatnonzero(t.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m, np.int32)), pa.array(at), pa.array(t.ravel()[at])], names=["m", "at", "v"])
-
-    sums = rows.select("fold", "label_idx", "cols", "vals").mapInArrow(run, "m int, at long, v double").groupBy("m", "at").agg(F.sum("v").alias("v"))
+            for fold, label, size, col, val, length in _blocks(batch):
+                n = len(fold)
+                row = np.repeat(np.arange(n), size)
+                if d <= DENSE:
+                    X = np.bincount(row * d + col, val, n * d).reshape(n, d)
+                    z = W @ X.T
+                else:
+                    z = np.stack([_runs(val * w[col], size) for w in W])
+                if space.unit:
+                    by = np.repeat(length.reshape(-1, n)[models], many, axis=0)
+                    z /= by
+                z += shift[:, None]
+                r = np.empty_like(z)
+                for i, m in enumerate(models):
+                    at = slice(i * many, (i + 1) * many)
+                    weight = np.where(fold == m, 0.0, space.weight[m][label])
+                    p = _probabilities(z[at])
+                    loss[i] -= (weight * np.log(np.maximum(p[label, np.arange(n)], 1e-300))).sum()
+                    if many == 1:
+                        r[i] = weight * (p[1] - (label == 1))
+                    else:
+                        p[label, np.arange(n)] -= 1.0
+                        r[at] = weight * p
+                free += r.sum(1)
+                if space.unit:
+                    r /= by
+                if d <= DENSE:
+                    grad += r @ X
+                else:
+                    for g, x in zip(grad, r):
+                        g += np.bincount(col, val * x[row], d)
+        for i, m in enumerate(models):
+            at = slice(i * many, (i + 1) * many)
+            total = np.hstack([grad[at] * space.scale[m], free[at, None], np.zeros((many, 1))])
+            total[0, -1] = loss[i]
+            some = np.flatnonzero(total.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), m, np.int32)), pa.array(some), pa.array(total.ravel()[some])], names=["m", "at", "v"])
+
+    sums = blocks.mapInArrow(run, "m int, at long, v double").groupBy("m", "at").agg(F.sum("v").alias("v"))
     got = sums.toPandas()  # one number per model and coefficient
     loss, gradient = {}, {}
     for m in thetas:
         mine = got[got.m == m]
         flat = np.bincount(mine["at"].to_numpy(np.int64), mine["v"].to_numpy(float), many * wide).reshape(many, wide)
         g = flat[:, :-1].copy()
-        # v holds scaled values, the centers are constant per column
+        # the entries are scaled above, the centers are constant per column
         g[:, :-1] -= (space.mean[m] * space.scale[m]) * flat[:, -2:-1]
         loss[m], gradient[m] = float(flat[0, -1]), g
     return loss, gradient
@@ -161,6 +229,7 @@ class _Lbfgs:
 def fit_folds(rows: DataFrame, space: Space) -> tuple[np.ndarray, int]:
     """Coefficients (models x vectors x (columns + 1), the intercept last) and the number of passes."""
     shape = (space.vectors, space.scale.shape[1] + 1)
+    rows = pack(rows, space)
     runs = {m: _Lbfgs(shape) for m in range(space.models)}
     passes = 0
     while passes < MAX_PASSES and (todo := {m: r.trial for m, r in runs.items() if not r.done}):
