@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rowaudit.functions.text import tokens
 from rowaudit.operators.flags import finding
-from rowaudit.session import cut_lineage
+from rowaudit.session import cut_lineage, dealt_out, kept
 
 
 def stop_words() -> list[str]:
@@ -89,12 +89,13 @@ def perplexity_outliers(df: DataFrame, text_col: str, max_perplexity: float, nam
 
 
 def embed_text(df: DataFrame, text_col: str, dim: int = 256, name: str = "embedding", encoder: Callable | None = None,
-               components: int | None = None, batch: int = 64) -> DataFrame:
+               components: int | None = None, batch: int = 64, once: bool = False) -> DataFrame:
     """Dense text vectors as array<double>; with ``components`` projected on the first principal axes.
 
     Without an encoder: hashed term counts -> IDF -> L2 norm, of length ``dim``.  ``encoder`` is a
     function without arguments that loads a model, once per worker process, and returns a function
     from a list of texts to a matrix; texts go to it ``batch`` at a time, a null one as empty.
+    With ``once`` the rows are written with their term counts: hashed texts are read and split only once.
     """
     if encoder is not None:
         @F.pandas_udf("array<double>")
@@ -109,6 +110,8 @@ def embed_text(df: DataFrame, text_col: str, dim: int = 256, name: str = "embedd
     else:
         toks = df.withColumn("_toks", F.filter(tokens(F.coalesce(F.col(text_col), F.lit(""))), lambda t: ~t.isin(stop_words())))
         tf = HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=dim).transform(toks)
+        if once:
+            tf = kept(dealt_out(tf.drop("_toks")), "terms")
         idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf).transform(tf)
         nrm = Normalizer(inputCol="_idf", outputCol="_n", p=2.0).transform(idf)
         out = nrm.withColumn(name, vector_to_array("_n")).drop("_toks", "_tf", "_idf", "_n")
