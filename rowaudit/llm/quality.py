@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,22 +85,24 @@ def _slots(id_: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(id_, F.lit(i)), F.lit(bits)) for i in range(2)]
 
 
-def id_filter(ids: DataFrame, column: str) -> list[int]:
-    """A Bloom filter over the ids as 64-bit words: sixteen bits an id, ``MAX_FILTER_BITS`` at
-    most (beyond that more documents pass that are not meant, and are counted off again)."""
+def id_filter(ids: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """A Bloom filter over the ids: a table of one row, the array of its 64-bit words, and its bits; sixteen an id,
+    ``MAX_FILTER_BITS`` at most (beyond that more documents pass that are not meant, and are counted off again)."""
     bits = min(MAX_FILTER_BITS, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
     place = ids.select(F.explode(F.array(*_slots(F.col(column), bits))).alias("s"))
     words = place.groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("x"))
-    out = [0] * (bits // 64)
-    for w, x in words.collect():
-        out[w] = x
-    return out
-
-
-def in_filter(id_: Column, words: list[int]) -> Column:
-    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
-    one, two = (F.getbit(F.get(table, F.shiftright(s, 6).cast("int")), (s % 64).cast("int")) == 1 for s in _slots(id_, 64 * len(words)))
-    return one & two
+    got, out = words.toArrow(), np.zeros(bits // 64, np.int64)
+    out[got["w"].to_numpy()] = got["x"].to_numpy()
+    lists = pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.array(out))
+    return staged(ids.sparkSession.createDataFrame(pa.table({"words": lists})), "filter"), bits
+
+
+def in_filter(id_: Column, words: tuple[DataFrame, int]) -> Column:
+    """Whether the filter has the id.  Its words are the result of a subquery: as a constant, some 10 MB, they
+    would stand in every plan, and in the texts of the plans that the driver keeps."""
+    table, bits = words
+    one, two = (F.getbit(F.get(table.scalar(), F.shiftright(s, 6).cast("int")), (s % 64).cast("int")) == 1 for s in _slots(id_, bits))
+    return id_.isNotNull() & one & two
 
 
 def fit_weights(docs: DataFrame, trusted: DataFrame, *, text: str = "text", key: str = "doc_id",
